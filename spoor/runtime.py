@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once a session.
+
+    The archive is made on the driver and served by Spark's own file server,
+    so that no executor needs the repository on its path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spoor-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for path in sorted(root.rglob("*.py")):
+            held.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
