@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors",)
+MODULES = ("vectors", "spans", "pairs", "terms")
 
 
 def _all(what: str) -> dict:
