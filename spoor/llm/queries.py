@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "spans", "pairs", "terms", "conversations", "packing", "mixing")
+MODULES = ("vectors", "spans", "pairs", "terms", "conversations", "packing", "mixing", "reading")
 
 
 def _all(what: str) -> dict:
