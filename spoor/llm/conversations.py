@@ -1,12 +1,14 @@
 """Problem 6: rebuilding conversations from message rows.
 
-Method: a stateful stream. Messages are keyed by session and slice of event
-time; the keyed state buffers what arrives, in whatever order, under an
-event-time watermark. When the watermark passes a slice by the allowed
-lateness the slice times out: its messages are put in order and emitted with
-a summary. Slices bound the state and spread a session that holds a third of
-all rows over many tasks; summaries of neighbouring slices combine, so the
-verdict on a session needs only them.
+Method: a stateful stream. Messages are keyed by a bucket of sessions and a
+slice of event time; the keyed state buffers what arrives, in whatever order,
+under an event-time watermark. When the watermark passes a slice by the
+allowed lateness the slice times out: the messages of each of its sessions are
+put in order and emitted with a summary. Slices bound the state and spread a
+session that holds a third of all rows over many tasks; summaries of
+neighbouring slices combine, so the verdict on a session needs only them.
+Buckets hold a few sessions each, as a call of the state function costs far
+more than a message.
 
 A finite table is replayed as a stream of its files followed by an end
 marker, whose event time carries the watermark past everything: every slice
@@ -39,13 +41,15 @@ from spoor.runtime import fresh_path, load
 
 #: Width of a slice of event time.
 SLICE_MS = 6 * 3600 * 1000
+#: Rows of the table for each bucket of sessions, where their number is not given.
+ROWS_PER_BUCKET = 65_536
 #: Lateness a running stream allows before a slice closes.
 LATENESS_MS = 7 * 24 * 3600 * 1000
 #: Values below are seconds, not milliseconds.
 SECONDS_BELOW = 100_000_000_000
 #: Event times are held within this many milliseconds of 1970 (the order of messages keeps the true time).
 LAST_MS = 8_900_000_000_000
-_END = "\x00end"
+_END = -1
 _USER, _ASSISTANT, _OTHER, _BLANK = 0, 1, 2, 3
 
 EMITTED = (
@@ -64,8 +68,8 @@ def _source_path(spark: SparkSession, path: str) -> tuple[str, str | None]:
     return path, None
 
 
-def messages(df: DataFrame) -> DataFrame:
-    """Rows as keyed, timed, slim messages: (session_id, slice, event_time, at, seq, who, unit_id)."""
+def messages(df: DataFrame, buckets: int, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Rows as keyed, timed, slim messages: (bucket, slice, session_id, event_time, at, seq, who, unit_id)."""
     ts = F.when(F.abs("ts_ms") < SECONDS_BELOW, F.col("ts_ms") * 1000).otherwise(F.col("ts_ms"))
     at = F.coalesce(ts, F.lit(0)).cast("bigint")
     event = F.greatest(F.lit(-LAST_MS), F.least(F.lit(LAST_MS), at)).cast("bigint")
@@ -75,8 +79,9 @@ def messages(df: DataFrame) -> DataFrame:
         F.when(blank, _BLANK).when(role == "user", _USER).when(role == "assistant", _ASSISTANT).otherwise(_OTHER).cast("int")
     )
     return df.where(F.col("session_id").isNotNull() & (F.col("session_id") != "unknown")).select(
+        F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("bigint").alias("bucket"),
+        F.floor(event / slice_ms).cast("bigint").alias("slice"),
         "session_id",
-        F.floor(event / SLICE_MS).cast("bigint").alias("slice"),
         F.timestamp_millis(event).alias("event_time"),
         at.alias("at"),
         F.coalesce("seq", F.lit(-1)).cast("bigint").alias("seq"),
@@ -85,24 +90,26 @@ def messages(df: DataFrame) -> DataFrame:
     )
 
 
-_ROW = struct.Struct("<qqBH")
+_ROW = struct.Struct("<qqBII")
 
 
 def _pack(rows) -> bytes:
     out = bytearray()
-    for at, seq, who, unit in rows:
-        name = unit.encode()
-        out += _ROW.pack(at, seq, who, len(name)) + name
+    for at, seq, who, unit, session in rows:
+        name, group = unit.encode(), session.encode()
+        out += _ROW.pack(at, seq, who, len(name), len(group)) + name + group
     return bytes(out)
 
 
-def _unpack(raw: bytes):
-    rows, i = [], 0
+def _unpack(raw: bytes) -> dict[str, list[tuple]]:
+    """The messages (at, seq, who, unit) by session."""
+    rows, i = {}, 0
     while i < len(raw):
-        at, seq, who, n = _ROW.unpack_from(raw, i)
+        at, seq, who, n, m = _ROW.unpack_from(raw, i)
         i += _ROW.size
-        rows.append((at, seq, who, raw[i : i + n].decode()))
-        i += n
+        unit, session = raw[i : i + n].decode(), raw[i + n : i + n + m].decode()
+        i += n + m
+        rows.setdefault(session, []).append((at, seq, who, unit))
     return rows
 
 
@@ -120,38 +127,30 @@ def summary(roles: list[int]) -> tuple[int, bool, bool, bool, bool, bool]:
 
 
 def _close(slice_ms: int, with_messages: bool):
+    names = [f.split()[0] for f in EMITTED.split(", ")]
+
     def close(key, frames, state):
-        session, number = key
-        if session == _END:
+        bucket, number = key
+        if bucket == _END:
             for _ in frames:
                 pass
             return
         if state.hasTimedOut:
             (raw,) = state.get
             state.remove()
-            rows = sorted({r[3]: r for r in reversed(_unpack(raw))}.values())
-            said = [r for r in rows if r[2] != _BLANK]
-            n, user, first, asks, open_, broken = summary([r[2] for r in said])
-            ids = [None] + ([r[3] for r in said] if with_messages else [])
-            m = len(ids)
-            yield pd.DataFrame(
-                {
-                    "session_id": [session] * m,
-                    "slice": [number] * m,
-                    "unit_id": ids,
-                    "place": list(range(m)),
-                    "messages": [n] * m,
-                    "starts_with_user": [user] * m,
-                    "answer_first": [first] * m,
-                    "asks": [asks] * m,
-                    "open": [open_] * m,
-                    "broken": [broken] * m,
-                }
-            )
+            out = []
+            for session, rows in _unpack(raw).items():
+                once = sorted({r[3]: r for r in rows}.values())
+                said = [r for r in once if r[2] != _BLANK]
+                told = summary([r[2] for r in said])
+                out.append((session, number, None, 0, *told))
+                if with_messages:
+                    out += [(session, number, r[3], i, *told) for i, r in enumerate(said, 1)]
+            yield pd.DataFrame(out, columns=names)
             return
         held = bytearray(state.get[0] if state.exists else b"")
         for frame in frames:
-            held += _pack(zip(frame["at"].tolist(), frame["seq"].tolist(), frame["who"].tolist(), frame["unit_id"].tolist()))
+            held += _pack(zip(*(frame[c].tolist() for c in ("at", "seq", "who", "unit_id", "session_id"))))
         state.update((bytes(held),))
         state.setTimeoutTimestamp(max((int(number) + 1) * slice_ms, state.getCurrentWatermarkMs() + 1))
 
@@ -159,19 +158,27 @@ def _close(slice_ms: int, with_messages: bool):
 
 
 def rebuild(
-    spark: SparkSession, path: str, with_messages: bool = False, slice_ms: int = SLICE_MS, lateness_ms: int = LATENESS_MS
+    spark: SparkSession,
+    path: str,
+    with_messages: bool = False,
+    buckets: int | None = None,
+    slice_ms: int = SLICE_MS,
+    lateness_ms: int = LATENESS_MS,
 ) -> DataFrame:
     """Run the stream over the table at ``path`` to its end; the emitted rows, one per closed slice (and message)."""
     folder, only = _source_path(spark, path)
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
+    schema = table.schema
+    buckets = buckets or max(1, table.count() // ROWS_PER_BUCKET)
     reader = spark.readStream.schema(schema)
     if only:
         reader = reader.option("pathGlobFilter", only)
-    slim = messages(reader.parquet(folder))
+    slim = messages(reader.parquet(folder), buckets, slice_ms)
     marker = fresh_path(spark, "p6-end")
     spark.range(1).select(
-        F.lit(_END).alias("session_id"),
+        F.lit(_END).cast("bigint").alias("bucket"),
         F.lit(0).cast("bigint").alias("slice"),
+        F.lit("").alias("session_id"),
         F.timestamp_millis(F.lit(LAST_MS + lateness_ms + 2 * slice_ms)).alias("event_time"),
         F.lit(0).cast("bigint").alias("at"),
         F.lit(0).cast("bigint").alias("seq"),
@@ -182,7 +189,7 @@ def rebuild(
     closed = (
         slim.unionByName(end)
         .withWatermark("event_time", f"{lateness_ms} milliseconds")
-        .groupBy("session_id", "slice")
+        .groupBy("bucket", "slice")
         .applyInPandasWithState(
             _close(slice_ms, with_messages), EMITTED, "rows binary", "append", GroupStateTimeout.EventTimeTimeout
         )
