@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "spans", "pairs", "terms", "conversations", "packing", "mixing", "reading", "pii")
+MODULES = ("vectors", "spans", "pairs", "terms", "conversations", "packing", "mixing", "reading", "pii", "truncation")
 
 
 def _all(what: str) -> dict:
