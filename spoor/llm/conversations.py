@@ -47,7 +47,7 @@ ROWS_PER_BUCKET = 65_536
 LATENESS_MS = 7 * 24 * 3600 * 1000
 #: Values below are seconds, not milliseconds.
 SECONDS_BELOW = 100_000_000_000
-#: Event times are held within this many milliseconds of 1970 (the order of messages keeps the true time).
+#: Event times are held between 1970 and this (the order of messages keeps the true time).
 LAST_MS = 8_900_000_000_000
 _END = -1
 _USER, _ASSISTANT, _OTHER, _BLANK = 0, 1, 2, 3
@@ -72,7 +72,8 @@ def messages(df: DataFrame, buckets: int, slice_ms: int = SLICE_MS) -> DataFrame
     """Rows as keyed, timed, slim messages: (bucket, slice, session_id, event_time, at, seq, who, unit_id)."""
     ts = F.when(F.abs("ts_ms") < SECONDS_BELOW, F.col("ts_ms") * 1000).otherwise(F.col("ts_ms"))
     at = F.coalesce(ts, F.lit(0)).cast("bigint")
-    event = F.greatest(F.lit(-LAST_MS), F.least(F.lit(LAST_MS), at)).cast("bigint")
+    # a stream drops what is not later than its first watermark, the year 1970
+    event = F.greatest(F.lit(1), F.least(F.lit(LAST_MS), at)).cast("bigint")
     role = F.lower(F.trim("role"))
     blank = F.col("text").isNull() | F.btrim("text", F.lit(" \t\r\n\x0b\x0c ")).eqNullSafe("")
     who = (

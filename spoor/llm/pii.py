@@ -88,7 +88,7 @@ EMAIL = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:{_LABEL}\.)+[A-Za-
 EMAIL_BRACKETS = re.compile(rf"(?i)(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)*{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,24}}(?!\w)")
 EMAIL_WORDS = re.compile(r"(?i)(?<![\w.-])[\w+-]+(?: dot [\w+-]+)* at [a-z0-9-]+(?: dot [a-z0-9-]+)* dot [a-z]{2,24}(?!\w)")
 
-_EDGE = r"(?<![\w+(.\-/])"
+_EDGE = r"(?<![\w+.\-/])"
 _BEFORE = r"(?<![\w+.\-/])"
 PHONES = [
     (re.compile(rf"{_BEFORE}\+\d{{1,3}}(?:[ .\-/]?\(\d{{1,4}}\))?(?:[ .\-/]?\d{{1,5}}){{2,6}}(?: ?(?:ext\.?|x) ?\d{{1,5}})?(?!\w)"), 0.9),
