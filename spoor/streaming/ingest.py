@@ -29,9 +29,11 @@ def captured(raw: DataFrame) -> DataFrame:
     """Enriched units of a stream or table of raw messages; a unit delivered again is dropped by its id."""
     ts = normal_ts(F.col("ts_ms"))
     slim = raw.select(
-        "unit_id", "session_id", "session_name", "cwd", normal_role(F.col("role")).alias("role"), "text", ts.alias("ts"), "seq", F.timestamp_millis(F.coalesce(ts, F.lit(0))).alias("event_time")
+        "unit_id", "session_id", "session_name", "cwd", normal_role(F.col("role")).alias("role"), "text", ts.alias("ts"), "seq", F.timestamp_millis(F.greatest(F.lit(1).cast("bigint"), F.coalesce(ts, F.lit(0)))).alias("event_time")
     )
-    once = slim.withWatermark("event_time", DEDUP_WINDOW).dropDuplicatesWithinWatermark(["unit_id"])
+    # a stream drops what is not later than its first watermark, the year 1970
+    stream = slim.withWatermark("event_time", DEDUP_WINDOW) if raw.isStreaming else slim
+    once = stream.dropDuplicatesWithinWatermark(["unit_id"]) if raw.isStreaming else slim.dropDuplicates(["unit_id"])
     return enrich(once).drop("event_time")
 
 
