@@ -115,6 +115,9 @@ def flatten_blocks(blocks: Column) -> Column:
 _B, _E = r"(?<![a-z0-9_])", r"(?![a-z0-9_])"
 
 
+# The word lists of the query classes below are fixed values.
+
+
 def is_temporal(query: Column) -> Column:
     return F.lower(query).rlike(rf"{_B}(earlier|before|last|previous|yesterday|ago|used to|recently|back when){_E}")
 

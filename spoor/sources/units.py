@@ -96,6 +96,7 @@ def store_stats(df: DataFrame, cwd: str) -> DataFrame:
 
 # --- the binary sidecar -----------------------------------------------------------
 
+#: The head of a sidecar file (fixed value of the format).
 _MAGIC = b"ZMEM1"
 
 
