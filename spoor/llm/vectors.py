@@ -431,6 +431,8 @@ def similar_vectors(
     )
     own = lent.where(F.col("r") == 2).select(F.col("b").alias("a"), "b", F.lit(1.0).alias("cosine"))
     near = hits.unionByName(own).join(lent.drop("r"), "b").select("a", "neighbour_id", "cosine")
+    # a member leaves out only itself, so k + 1 of its class's candidates are enough for each
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour_id"))).where(F.col("r") <= k + 1).drop("r")
     asked = members.where("asks").select(F.col("vkey").alias("a"), "unit_id")
     ranked = Window.partitionBy("unit_id").orderBy(F.desc("cosine"), "neighbour_id")
     return (
