@@ -193,11 +193,13 @@ def ppr_mass(spark, sf_dir):
 
 
 def _fact_vectors(spark, sf_dir):
-    """Facts and their questions with vectors: those of the embeddings table, taken in turn."""
-    vectors = load(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("v"), "embedding")
+    """Facts and their questions with vectors: those of the whole embeddings table, taken in turn."""
+    e = load(spark, sf_dir, "embeddings")
+    n = max(1, e.count())
+    vectors = e.select(F.col("vec_id").alias("v"), "embedding")
     number = F.expr("cast(substring(id, 2) as bigint)")
-    facts = load(spark, sf_dir, "eval_facts").select("id", (number % 500).alias("v")).join(vectors, "v").select(F.col("id").alias("unit_id"), "embedding")
-    return facts, fact_queries(spark, sf_dir).select("query_id", ((number * 7) % 500).alias("v")).join(vectors, "v").select("query_id", F.col("embedding").alias("qvec"))
+    facts = load(spark, sf_dir, "eval_facts").select("id", (number % n).alias("v")).join(vectors, "v").select(F.col("id").alias("unit_id"), "embedding")
+    return facts, fact_queries(spark, sf_dir).select("query_id", ((number * 7) % n).alias("v")).join(vectors, "v").select("query_id", F.col("embedding").alias("qvec"))
 
 
 _SCORES = (
