@@ -47,7 +47,7 @@ class Options:
     calibrate: bool = True
     perspective_weight: float = 0.3
     identity_demotion: float = 0.4
-    #: Nearest units by vector that are scored for each query and pool.
+    #: Without effect: what ``dense`` holds is scored, all of it.
     dense_pool: int = 200
 
     @property

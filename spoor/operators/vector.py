@@ -14,6 +14,8 @@ from spoor.operators.ranking import top_k
 
 #: Queries held by every task at once; more are searched in turns.
 QUERY_BLOCK = 4_096
+#: Similarities that a task holds at once.
+SCORES = 1 << 20
 #: Below this many vectors a search is exact.
 EXACT_BELOW = 10_000
 #: Vectors on which cells are fitted, at most.
@@ -29,9 +31,18 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, unit_id, cosine, rank): nearest vectors of each query (query_id, qvec).
 
     The query set is stated and small; it goes to every task in blocks of
-    QUERY_BLOCK rows, each task compares it with its batches by one product
-    and hands on k rows a query.
+    QUERY_BLOCK rows, each task compares it with its batches by products of
+    about SCORES elements and hands on k rows a query.
     """
+    return top_k(_scanned(queries, vectors, k).distinct(), k, F.desc(F.round("cosine", 9)), "unit_id")
+
+
+def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, unit_id, cosine) of every query with every vector of its length, unranked."""
+    return _scanned(queries, vectors, None)
+
+
+def _scanned(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
     spark = vectors.sparkSession
     asked = queries.where(F.size("qvec") > 0).select("query_id", F.col("qvec").cast("array<double>")).toArrow()
     parts = []
@@ -50,22 +61,25 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     if not len(at):
                         continue
                     y = _normal(_rows(batch.column(1).take(pa.array(at)), dim))
-                    s = x @ y.T
-                    n = min(k, s.shape[1])
-                    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    # rows as near as the k-th stay, so that ties are broken by id later
-                    keep = s >= np.take_along_axis(s, best, 1).min(axis=1, keepdims=True)
-                    a, b = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[i] for i in a], pa.string()), batch.column(0).take(pa.array(at[b])), pa.array(s[a, b])], names=["query_id", "unit_id", "cosine"]
-                    )
+                    step = max(1, SCORES // len(at))
+                    for first in range(0, len(x), step):
+                        s = x[first : first + step] @ y.T
+                        if k is None or k >= s.shape[1]:
+                            a, b = np.indices(s.shape).reshape(2, -1)
+                        else:
+                            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                            # rows as near as the k-th stay, so that ties are broken by id later
+                            a, b = np.nonzero(s >= np.take_along_axis(s, best, 1).min(axis=1, keepdims=True))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([names[first + i] for i in a], pa.string()), batch.column(0).take(pa.array(at[b])), pa.array(s[a, b])], names=["query_id", "unit_id", "cosine"]
+                        )
 
         src = vectors.where(F.size("embedding") > 0).select(F.col("unit_id").cast("string"), F.col("embedding").cast("array<double>"))
         parts.append(src.mapInArrow(scan, "query_id string, unit_id string, cosine double"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return top_k(found.distinct(), k, F.desc(F.round("cosine", 9)), "unit_id")
+    return found
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -108,4 +122,4 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, probes: int = 24) ->
     return CellIndex(vectors).topk(queries, k, probes)
 
 
-__all__ = ["CellIndex", "exact_topk", "nearest"]
+__all__ = ["CellIndex", "exact_topk", "nearest", "similarities"]

@@ -13,7 +13,7 @@ from spoor.operators.identity import asks_about, identity_facts, identity_line,
 from spoor.operators.lexical import bm25, bm25_index, query_terms
 from spoor.operators.ranking import top_k
 from spoor.operators.retrieval import Options, retrieve
-from spoor.operators.vector import CellIndex, exact_topk
+from spoor.operators.vector import CellIndex, exact_topk, similarities
 from spoor.plans import sql as S
 from spoor.plans.queries_text import NOW_MS, PROJECT, fact_queries, fact_units
 from spoor.plans.registry import register
@@ -297,7 +297,8 @@ def retrieve_ranked(spark, sf_dir):
 def retrieve_full(spark, sf_dir):
     """The whole pipeline over the facts: lexical, dense and PageRank scores, closure, diversity."""
     facts, asked = _fact_vectors(spark, sf_dir)
-    dense = exact_topk(asked, facts, 200).select("query_id", "unit_id", ((F.col("cosine") + 1) / 2).alias("sem"))
+    # every similarity, as the least of a pool enters its scale
+    dense = similarities(asked, facts).select("query_id", "unit_id", ((F.col("cosine") + 1) / 2).alias("sem"))
     number = F.expr("cast(substring(id, 2) as bigint)")
     as_units = load(spark, sf_dir, "eval_facts").select(
         F.col("id").alias("unit_id"),

@@ -1,5 +1,8 @@
 """Queries over the whole of their tables, on tables larger than what was once read of them."""
 
+from pyspark.sql import functions as F
+
+from spoor.operators import vector
 from spoor.plans import queries_search
 
 FACT = "id string, text string, queries array<string>"
@@ -12,3 +15,16 @@ def test_all_vectors_are_dealt_out(spark, tmp_path):
     facts, asked = queries_search._fact_vectors(spark, str(tmp_path))
     assert {r["unit_id"]: r["embedding"][0] for r in facts.collect()} == {f"f{i}": float(i) for i in range(n)}
     assert {r["query_id"]: r["qvec"][0] for r in asked.collect()} == {f"f{i}:1": float(7 * i % n) for i in range(n)}
+
+
+def test_the_whole_pipeline_is_given_every_similarity(spark, tmp_path, monkeypatch):
+    n, seen = 260, {}
+    spark.createDataFrame([(i, [1.0, i / n], 0) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(f"f{i}", "text", ["a question"] if i < 3 else None) for i in range(n)], FACT).write.parquet(f"{tmp_path}/eval_facts.parquet")
+    monkeypatch.setattr(queries_search, "retrieve", lambda q, u, o, dense, **_: seen.setdefault("dense", dense).withColumn("score", F.lit(0.0)))
+    monkeypatch.setattr(vector, "SCORES", 100)
+    queries_search.retrieve_full(spark, str(tmp_path))
+    got = {(r["query_id"], r["unit_id"]): r["sem"] for r in seen["dense"].collect()}
+    assert set(got) == {(f"f{q}:1", f"f{u}") for q in range(3) for u in range(n)} and seen["dense"].count() == 3 * n
+    cos = lambda a, b: (1 + a * b) / ((1 + a * a) * (1 + b * b)) ** 0.5
+    assert all(abs(got[f"f{q}:1", f"f{u}"] - (cos(7 * q / n, u / n) + 1) / 2) < 1e-6 for q in range(3) for u in range(n))
