@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions.text import entities, fingerprint, is_identity_query, is_temporal, min_max, mmr_lambda, tokens, type_compat
-from spoor.operators.graph import entity_hits, entity_weights, ppr, unit_entities
+from spoor.operators.graph import entity_hits, entity_weights, ppr, similar_hits, unit_entities
 from spoor.operators.identity import asks_about, naming_match, perspective
 from spoor.operators.lexical import bm25, bm25_index, coverage, query_terms
 from spoor.operators.ranking import first_of_each, mmr, top_k
@@ -101,13 +101,16 @@ def fused(o: Options, dense: bool):
     return ((1 - w) * bn + w * sn) * conf
 
 
-def retrieve(queries: DataFrame, units: DataFrame, options: Options | None = None, context: DataFrame | None = None, dense: DataFrame | None = None) -> DataFrame:
+def retrieve(
+    queries: DataFrame, units: DataFrame, options: Options | None = None, context: DataFrame | None = None, dense: DataFrame | None = None, entity_vectors: DataFrame | None = None
+) -> DataFrame:
     """(query_id, rank, unit_id, score, reason, compat) for queries (query_id, text, cwd, session_id, now).
 
     ``units`` is the unit table; ``context`` (query_id, fp) names what a query
     already sees; ``dense`` (query_id, unit_id, sem) holds similarities in
     [0, 1] of the units a vector search has found; others count 0, as with an
-    approximate index.
+    approximate index. ``entity_vectors`` (entity, embedding) lets units of
+    entities similar to those of a query seed PageRank too.
     """
     o = options or Options()
     q = materialize(query_features(queries, o), "q")
@@ -121,7 +124,10 @@ def retrieve(queries: DataFrame, units: DataFrame, options: Options | None = Non
     q_ents = q.select("query_id", F.explode("q_ents").alias("entity"))
     direct = entity_hits(q_ents, postings)
     if o.use_bridges:
-        graph = ppr(direct.select("query_id", "unit_id", F.col("hits").cast("double").alias("seed")), postings, entity_weights(postings, n_units), o.gamma).withColumnRenamed("mass", "g_raw")
+        seeds = direct.select("query_id", "unit_id", F.col("hits").cast("double").alias("seed"))
+        if entity_vectors is not None:
+            seeds = seeds.unionByName(similar_hits(q_ents, postings, entity_vectors)).groupBy("query_id", "unit_id").agg(F.sum("seed").alias("seed"))
+        graph = ppr(seeds, postings, entity_weights(postings, n_units), o.gamma).withColumnRenamed("mass", "g_raw")
     else:
         graph = direct.select("query_id", "unit_id", F.col("hits").cast("double").alias("g_raw"))
     graph = materialize(graph, "graph")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import text as T
@@ -202,6 +204,14 @@ def _fact_vectors(spark, sf_dir):
     return facts, fact_queries(spark, sf_dir).select("query_id", ((number * 7) % n).alias("v")).join(vectors, "v").select("query_id", F.col("embedding").alias("qvec"))
 
 
+def _entity_vectors(spark, sf_dir, *texts):
+    """Entities of the texts with vectors of the embeddings table, chosen by hash, as no table has vectors of entities."""
+    e = load(spark, sf_dir, "embeddings")
+    named = [t.select(F.explode(T.entities(F.col("text"))).alias("entity")) for t in texts]
+    entities = functools.reduce(DataFrame.unionByName, named).distinct()
+    return entities.withColumn("v", F.pmod(F.xxhash64("entity"), F.lit(max(1, e.count())))).join(e.select(F.col("vec_id").alias("v"), "embedding"), "v").select("entity", "embedding")
+
+
 _SCORES = (
     f"ff AS (SELECT id AS unit_id, text FROM eval_facts), {S.FACT_QUERIES}, {S.bm25('ff', 'text', 'fq')}, "
     "vec AS (SELECT vec_id AS v, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), "
@@ -311,7 +321,7 @@ def retrieve_full(spark, sf_dir):
         T.entities(F.col("text")).alias("ents"),
     )
     asked_in = fact_queries(spark, sf_dir).select("query_id", "text", F.lit("p1").alias("cwd"), F.lit(None).cast("string").alias("session_id"), F.lit(NOW_MS).alias("now"))
-    found = retrieve(asked_in, as_units.join(facts, "unit_id", "left"), Options(), dense=dense)
+    found = retrieve(asked_in, as_units.join(facts, "unit_id", "left"), Options(), dense=dense, entity_vectors=_entity_vectors(spark, sf_dir, as_units, asked_in))
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from spoor.operators import vector
+from spoor.functions.text import entities
+from spoor.operators import graph, vector
+from spoor.operators.retrieval import Options, retrieve
 from spoor.plans import queries_search
 
 FACT = "id string, text string, queries array<string>"
@@ -28,3 +30,23 @@ def test_the_whole_pipeline_is_given_every_similarity(spark, tmp_path, monkeypat
     assert set(got) == {(f"f{q}:1", f"f{u}") for q in range(3) for u in range(n)} and seen["dense"].count() == 3 * n
     cos = lambda a, b: (1 + a * b) / ((1 + a * a) * (1 + b * b)) ** 0.5
     assert all(abs(got[f"f{q}:1", f"f{u}"] - (cos(7 * q / n, u / n) + 1) / 2) < 1e-6 for q in range(3) for u in range(n))
+
+
+def test_similar_entities_seed_the_graph(spark):
+    units = spark.createDataFrame(
+        [("a", "s1", None, "p", "user", "`auth_gate` opens", 1, 0), ("b", "s2", None, "p", "user", "`auth_door` shuts", 2, 1), ("c", "s3", None, "p", "user", "`auth_wall` stands", 3, 2), ("d", "s4", None, "p", "user", "`other_thing` too", 4, 3)],
+        "unit_id string, session_id string, session_name string, cwd string, role string, text string, ts long, seq long",
+    ).withColumn("ents", entities(F.col("text")))
+    asked = spark.createDataFrame([("q", "what about `auth_gate` opens", "p", None, 9)], "query_id string, text string, cwd string, session_id string, now long")
+    # near and with a word in common; with a word only; near only
+    vec = spark.createDataFrame([("auth gate", [1.0, 0.0]), ("auth door", [0.8, 0.6]), ("auth wall", [0.6, 0.8]), ("other", [1.0, 0.0])], "entity string, embedding array<double>")
+    q_ents = spark.createDataFrame([("q", "auth gate")], "query_id string, entity string")
+    held = spark.createDataFrame([("a", "auth gate"), ("b", "auth door"), ("c", "auth wall"), ("d", "other")], "unit_id string, entity string")
+    got = {(r["query_id"], r["unit_id"]): r["seed"] for r in graph.similar_hits(q_ents, held, vec).collect()}
+    assert set(got) == {("q", "b")} and abs(got["q", "b"] - 0.8) < 1e-9
+    units = units.withColumn("ents", F.transform("ents", lambda e: F.translate(e, "_", "-")))
+    asked = asked.withColumn("text", F.translate("text", "_", "-"))
+    # the least mass counts 0, here that of "c"
+    vec = spark.createDataFrame([("auth-gate", [1.0, 0.0]), ("auth-door", [0.8, 0.6]), ("auth-wall", [0.71, 0.7])], "entity string, embedding array<double>")
+    found = lambda v: {r["unit_id"]: r["reason"] for r in retrieve(asked, units, Options(min_score=0.01, use_closure=False), entity_vectors=v).collect()}
+    assert "b" not in found(None) and found(vec)["b"].startswith("graph")
