@@ -188,7 +188,7 @@ def _ppr_sql(steps: int = 24, gamma: float = 0.6) -> str:
 def ppr_mass(spark, sf_dir):
     _, postings, weights = _graph(spark, sf_dir)
     seeds = hits_of_entities(spark, sf_dir).select("query_id", "unit_id", F.col("hits").cast("double").alias("seed"))
-    return ppr(seeds, postings, weights).select("query_id", "unit_id", F.round("mass", 4).alias("mass")).where("mass >= 0.001")
+    return ppr(seeds, postings, weights).select("query_id", "unit_id", "mass")
 
 
 # --- fusion and retrieval ---------------------------------------------------------------

@@ -50,3 +50,11 @@ def test_similar_entities_seed_the_graph(spark):
     vec = spark.createDataFrame([("auth-gate", [1.0, 0.0]), ("auth-door", [0.8, 0.6]), ("auth-wall", [0.71, 0.7])], "entity string, embedding array<double>")
     found = lambda v: {r["unit_id"]: r["reason"] for r in retrieve(asked, units, Options(min_score=0.01, use_closure=False), entity_vectors=v).collect()}
     assert "b" not in found(None) and found(vec)["b"].startswith("graph")
+
+
+def test_low_masses_are_kept(spark, tmp_path):
+    n = 1200
+    spark.createDataFrame([(i, "about `auth_gate`") for i in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("f0", "text", ["what about `auth_gate`"])], FACT).write.parquet(f"{tmp_path}/eval_facts.parquet")
+    mass = [r["mass"] for r in queries_search.ppr_mass(spark, str(tmp_path)).collect()]
+    assert len(mass) == n and abs(sum(mass) - 1) < 1e-9 and abs(mass[0] - 1 / n) < 1e-9
