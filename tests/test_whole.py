@@ -1,8 +1,10 @@
 """Queries over the whole of their tables, on tables larger than what was once read of them."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spoor.functions.text import entities
+from spoor.llm import truncation
 from spoor.operators import graph, vector
 from spoor.operators.retrieval import Options, retrieve
 from spoor.plans import queries_search
@@ -58,3 +60,21 @@ def test_low_masses_are_kept(spark, tmp_path):
     spark.createDataFrame([("f0", "text", ["what about `auth_gate`"])], FACT).write.parquet(f"{tmp_path}/eval_facts.parquet")
     mass = [r["mass"] for r in queries_search.ppr_mass(spark, str(tmp_path)).collect()]
     assert len(mass) == n and abs(sum(mass) - 1) < 1e-9 and abs(mass[0] - 1 / n) < 1e-9
+
+
+def test_every_near_copy_of_a_bucket_is_compared(spark):
+    rng = np.random.default_rng(4)
+    words = lambda k: ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(k)]
+    rows, want = [], set()
+    for i in range(6):
+        full = " ".join(words(60)) + "."
+        # cut within its last word, so of as many words as its copy
+        rows += [(f"tie{i}", full[:-5]), (f"full{i}", full)]
+        want.add(f"tie{i}")
+    base = words(56)
+    rows += [("short", " ".join(base)), ("copy", " ".join(base + words(4)) + ".")]
+    # longer texts of the same buckets that are no near-copies
+    rows += [(f"long{i}", " ".join(base + words(45)) + ".") for i in range(60)]
+    df = spark.createDataFrame([(u, t, "user") for u, t in rows], "unit_id string, text string, role string")
+    got = {r["unit_id"] for r in truncation.truncation(df).collect() if r["verdict"] == "cut by its copy"}
+    assert got == want | {"short"}
