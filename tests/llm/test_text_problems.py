@@ -1,6 +1,7 @@
 """Problems 4, 5, 6, 8, 9 and 10, with the defined edge cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -110,7 +111,39 @@ def test_near_copy_alignment():
     assert truncation.ends_early(full.replace(" sixteen", ""), full) == "cut"
     done = full.replace("fifteen", "fifteen.")
     assert truncation.ends_early(done.replace(" sixteen", ""), done) == "complete"
-    assert truncation.ends_early("a b c d e f", full) is None and truncation.ends_early(full, full) is None
+    assert truncation.ends_early("a b c d e f", full) is None and truncation.ends_early(full, full) == "near"
+    # containment, not resemblance: a copy may have lost more than it kept
+    assert truncation.ends_early(full[: full.index("eleven") + 3], full) == "cut"
+
+
+def test_near_copies_overrule_marks(spark):
+    """A copy that stops where others go on is cut, even after a closing mark; it need not be next to the longest of its bucket."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for g in range(6):
+        full = [word() for _ in range(60)]
+        for k in range(6):
+            rows.append((f"g{g}v{k}", " ".join([*full[:-1], word(), word()]) + "."))
+        rows += [(f"g{g}cut", " ".join(full[:54])), (f"g{g}done", " ".join(full[:50]) + "."), (f"g{g}odd", " ".join(full[:52]) + '!"')]
+    texts = spark.createDataFrame(rows, "unit_id string, text string").selectExpr("unit_id", "text", "xxhash64(text) AS th")
+    whole = {r["unit_id"]: r["whole"] for r in texts.join(truncation.near_copies(texts), "th").collect()}
+    assert all(whole[f"g{g}cut"] == 0 for g in range(6))
+    assert not any(whole.get(f"g{g}v{k}") == 0 for g in range(6) for k in range(6))
+    df = texts.selectExpr("unit_id", "text", "'user' AS role")
+    got = {r["unit_id"]: r["verdict"] for r in truncation.truncation(df).collect()}
+    assert all(got[f"g{g}cut"] == "cut by its copy" for g in range(6))
+
+
+def test_field_limits(spark):
+    """Lengths that many undecided texts share are limits, wherever sentences could end there."""
+    shares = truncation._shares(pa.table({"role": ["a"] * 2, "kind": ["k"] * 2, "bin": [40, -40], "n": [900, 100]}))
+    assert abs(shares.column("share")[0].as_py() - 0.9) < 0.01
+
+
+def test_open_blocks():
+    assert truncation.judge("see\n```py\nx = 1") == "cut" and truncation.judge("see\n```py\nx = 1\n```") == "complete"
+    assert truncation.kind("so the ") == "blank" and truncation.kind("so the...") == "dots"
 
 
 # --- 6 --------------------------------------------------------------------------------
