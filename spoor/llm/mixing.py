@@ -15,9 +15,14 @@ a whole source, even one with a third of all rows.
 Defined results
 * sources compare trimmed and lowered; null or blank ones are no source, and
   sources without a target are not used, but their tokens count in the total;
-* the budget is the total of the tokens of all documents, each id once;
+* the budget is the total of the tokens of all documents, each id once
+  (policy ``keep``): where a source falls short its part stays empty, and all others
+  have exactly their share of the budget. With policy ``shrink`` the budget is the most
+  that lets all sources that have documents keep their shares to each other;
 * a source gives target_share * budget tokens, at most max_repeats times its
-  own: it then falls short, and its documents spread over the whole time;
+  own: it then falls short, and its documents spread over the whole time. The
+  report finds this in the mixture: every document is placed as often as it may be,
+  and still the tokens placed are fewer than wanted;
 * copy j of a document begins j times the source's tokens later; copies whose
   middle lies beyond the source's tokens to give are left out;
 * documents without a token are not used; a source named twice in the targets
@@ -44,8 +49,8 @@ def _source(name: str):
     return F.when(clean != "", clean)
 
 
-def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, tokens, budget, want, give, short, ramp) of each target source.
+def source_plan(sizes: DataFrame, targets: DataFrame, policy: str = "keep") -> DataFrame:
+    """(source, target_share, max_repeats, documents, tokens, budget, want, give, ramp) of each target source.
 
     ``sizes`` is (doc_id, n_tokens, source). The result has a row per target.
     """
@@ -55,7 +60,7 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .groupBy("source")
         .agg(F.sum("s").alias("target_share"), F.max("m").alias("max_repeats"))
     )
-    have = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
+    have = sizes.groupBy("source").agg(F.count_if(F.col("n_tokens") > 0).alias("documents"), F.sum("n_tokens").alias("tokens"))
     budget = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("budget"))
     plan = wanted.join(have, "source", "left").crossJoin(F.broadcast(budget))
     cap = F.col("max_repeats") * F.col("tokens")
@@ -68,7 +73,14 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         "budget",
     )
-    plan = plan.withColumn("want", want).withColumn("give", F.least(want, cap.cast("double"))).withColumn("short", cap < want)
+    if policy == "shrink":
+        # the targets are few, so one window over them is small
+        there = Window.partitionBy(F.lit(0))
+        rest = F.sum(F.when(cap > 0, F.col("target_share"))).over(there)
+        share = F.when(cap > 0, F.col("target_share") / rest).otherwise(F.lit(0.0))
+        plan = plan.withColumn("target_share", share)
+        plan = plan.withColumn("budget", F.least(F.col("budget").cast("double"), F.coalesce(F.min(F.when(F.col("target_share") > 0, cap / F.col("target_share"))).over(there), F.lit(0.0))))
+    plan = plan.withColumn("want", want).withColumn("give", F.least(want, cap.cast("double")))
     # sources that repeat more come later; the targets are few, so one window over them is small
     every = Window.partitionBy(F.lit(0))
     lean = F.col("max_repeats") - F.sum(F.col("target_share") * F.col("max_repeats")).over(every) / F.sum("target_share").over(every)
@@ -82,11 +94,11 @@ def _sizes(documents: DataFrame, vocabulary: str) -> DataFrame:
     return materialize(sizes.select("doc_id", "n_tokens", F.col("keep0").alias("source")), "p9-sizes")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, policy: str = "keep") -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, copy, n_tokens, position) sorted by position, and the source plan."""
     sizes = _sizes(documents, vocabulary)
-    plan = materialize(source_plan(sizes, targets), "p9-plan")
-    slices = max(1, min(4096, -(-sizes.count() // SLICE)))
+    plan = materialize(source_plan(sizes, targets, policy), "p9-plan")
+    slices = max(1, -(-sizes.count() // SLICE))
     used = (
         sizes.where("n_tokens > 0")
         .join(F.broadcast(plan.where("give > 0").select("source", F.col("tokens").alias("total"), "want", "give", "ramp", "max_repeats")), "source")
@@ -112,16 +124,22 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, documents, uses, tokens, used_tokens, short) of each target."""
+    """(source, target_share, budget_share, actual_share, documents, uses, tokens, used_tokens, short) of each target.
+
+    ``budget_share`` is of the budget, ``actual_share`` of the tokens placed.
+    """
     given = mixed.groupBy("source").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("used_tokens"))
     joined = plan.join(given, "source", "left").na.fill(0, ["uses", "used_tokens"])
     total = F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))
-    share = F.when(total > 0, F.col("used_tokens") / total).otherwise(F.lit(0.0))
-    return joined.select("source", "target_share", F.round(share, 6).alias("actual_share"), "documents", "uses", "tokens", "used_tokens", "short")
+    of = lambda t: F.when(t > 0, F.col("used_tokens") / t).otherwise(F.lit(0.0))
+    short = (F.col("used_tokens") < F.col("want")) & (F.col("uses") >= F.col("documents") * F.col("max_repeats"))
+    return joined.select(
+        "source", "target_share", F.round(of(F.col("budget")), 6).alias("budget_share"), F.round(of(total), 6).alias("actual_share"), "documents", "uses", "tokens", "used_tokens", short.alias("short")
+    )
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+def _mixed(spark: SparkSession, sf_dir: str, policy: str = "keep") -> tuple[DataFrame, DataFrame]:
+    return mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), policy=policy)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +154,21 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source."""
+    """Target and actual share of each source, of the tokens of all documents."""
     return mix_report(*_mixed(spark, sf_dir))
 
 
-QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
-ORACLE: dict[str, str] = {}
+def p9_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the largest mixture that keeps all shares of sources with documents."""
+    return mix_report(*_mixed(spark, sf_dir, "shrink"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shrunk": p9_shrunk}
+# which sources fall short is the same in characters as in tokens
+ORACLE: dict[str, str] = {
+    "p9_found": """
+WITH d AS (SELECT doc_id, max(length(text)) AS n, any_value(lower(trim(source, ' ' || chr(9) || chr(10) || chr(13)))) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+t AS (SELECT lower(trim(source)) AS source, sum(target_share) AS share, max(max_repeats) AS repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+h AS (SELECT source, sum(n) AS n FROM d GROUP BY 1)
+SELECT t.source FROM t LEFT JOIN h USING (source) WHERE repeats * coalesce(h.n, 0) < share * (SELECT sum(n) FROM d)"""
+}

@@ -142,3 +142,25 @@ def test_terms_and_ngrams_match_brute_force(spark, monkeypatch):
     assert {k: v[:2] for k, v in got.items()} == {k: (c, len(u)) for k, (c, u) in want.items()}
     assert got["tokens", 1, "rare"][2] == "rare" and got["tokens", 1, "a"][2] == "common" and got["entities", 1, "x"] == (2, 1, "rare")
     assert terms.term_counts(df.limit(0)).count() == 0
+
+
+def test_suffix_arrays_match_brute_force():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        sizes = rng.integers(1, 14, rng.integers(1, 9))
+        codes = rng.integers(0, 3, sizes.sum())
+        record = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        suffix = [tuple(codes[i : ends[i]]) for i in range(len(codes))]
+        order, lcp = terms.suffix_array(codes, record)
+        assert [suffix[i] for i in order] == sorted(suffix)
+        common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        assert lcp.tolist() == [0] + [common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])]
+        want: dict = {}
+        for i, s in enumerate(suffix):
+            for n in range(1, len(s) + 1):
+                c = want.setdefault((n, s[:n]), [0, set()])
+                c[0] += 1
+                c[1].add(int(record[i]))
+        got = {(n, tuple(codes[a : a + n])): (o, r) for n, at, size, records in terms.ngram_intervals(codes, record, None) for a, o, r in zip(at, size, records)}
+        assert got == {k: (c, len(r)) for k, (c, r) in want.items()}

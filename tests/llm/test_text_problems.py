@@ -228,6 +228,10 @@ def test_segments_keep_the_tokens():
     parts = list(tokens.segments(text, 100))
     assert "".join(parts) == text and len(parts) > 5
     assert [t for p in parts for t in encode(p)] == encode(text)
+    # runs are never cut, and cuts fall only where a run ends
+    for text in ("a" * 500 + "1" * 300 + "=" * 700 + " x'll 9é́ß\n\n  " * 30, "=" * 900, "日本語" * 200 + "１２３" * 50 + " end"):
+        parts = list(tokens.segments(text, 60))
+        assert "".join(parts) == text and [t for p in parts for t in encode(p)] == encode(text)
 
 
 # --- 9 -----------------------------------------------------------------------------------------
@@ -251,6 +255,9 @@ def test_mixture(spark, monkeypatch):
     for r in used:
         copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
     assert max(copies[d] for d in copies if d < 1000) == 1 and max(copies.values()) == 3
+    mixed, plan = mixing.mixture(docs, targets, policy="shrink")
+    even = {r["source"]: r for r in mixing.mix_report(mixed, plan).collect()}
+    assert abs(even["big"]["actual_share"] - 2 / 3) < 0.01 and abs(even["small"]["actual_share"] - 1 / 3) < 0.01 and even["none"]["uses"] == 0
     empty, plan = mixing.mixture(docs.limit(0), targets)
     assert empty.count() == 0 and {r["used_tokens"] for r in mixing.mix_report(empty, plan).collect()} == {0}
 
