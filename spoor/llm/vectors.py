@@ -1,22 +1,26 @@
 """Problem 1: the k most similar vectors of every vector.
 
 Method: a hierarchical k-means tree, fitted on a bounded sample, indexes all
-rows; each query walks it best bin first through a priority queue and visits
-as many leaves as a calibration against brute force asks for.
+rows; each query walks it best bin first through a priority queue, which holds
+the children of opened nodes only, and visits
+as many leaves as a calibration against brute force asks for. Calibration queries are
+vectors that the tree was not fitted on; half of them choose the visits, the other half
+measure the recall that is reported (``p1_recall``).
 
 Plan. Vectors are packed to 16-bit integers in one narrow pass and written
 once. Equal vectors collapse into one class (keyed by a 64-bit hash of the packed
 vector), so that a group of copies costs one search however large it is. Classes are sent to their home leaf as data
 and to the first ``visits`` leaves of their walk as queries; each leaf is one
 group (large leaves are split into blocks, which all queries of the leaf
-visit), compared by matrix products. Per query and leaf at most ``k`` rows
+visit, and the queries of a block into chunks, each with the data of the block), compared by matrix products. Per query and leaf at most ``k`` rows
 leave the group, and a windowed top-k merges them.
 
 Defined results
 * null, empty, all-zero vectors and vectors holding null, NaN or infinite
   elements are unusable: they are neither queries nor neighbours;
 * only vectors of equal length compare;
-* rows with the same id count once; ties are broken by the smaller id;
+* rows with the same id count once; ties between units are broken by the smaller id,
+  among more than k different vectors at the same distance by their hash;
 * an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,16 +35,23 @@ from pyspark.sql import functions as F
 
 from spoor.runtime import load, materialize
 
-#: Vectors on which a tree is fitted, at most (documented bound of the sample).
-FIT_SAMPLE = 32_768
+#: Vectors on which a tree is fitted: FIT_A_LEAF for each leaf wished for, at least and at most these (documented bounds of the
+#: sample). At most means that beyond 33 million vectors leaves grow.
+FIT_A_LEAF, FIT_LEAST, FIT_MOST = 16, 32_768, 262_144
+#: Share of vectors that a tree may be fitted on; the others are held out.
+FIT_SHARE = 0.8
 #: Vectors wished for in a leaf.
 LEAF_SIZE = 2_048
-#: Leaves of one tree, at most: bounds the broadcast to LEAVES * dim * 4 bytes.
-MAX_LEAVES = 16_384
+#: Points of the sample in a leaf, at least: bounds a tree to FIT_MOST / LEAST_POINTS leaves and its broadcast to that times dim * 4 bytes.
+LEAST_POINTS = 12
 #: Children of an inner node.
 BRANCHING = 16
 #: Data rows of one leaf compared in one task; more are split into blocks.
 BLOCK = 8_192
+#: Queries wished for in one task.
+CHUNK = 32_768
+#: Rows that walk the tree together.
+WALK = 4_096
 #: Queries of the calibration against brute force.
 CALIBRATION = 1_536
 #: Dimensions with fewer vectors than this are compared in one leaf.
@@ -138,45 +149,69 @@ class Tree:
     def leaves(self) -> int:
         return sum(not len(c) for c in self.children)
 
+    def __post_init__(self):
+        widest = max([1, *(len(c) for c in self.children)])
+        self.kids = np.full((len(self.children), widest), -1, "i4")
+        for node, c in enumerate(self.children):
+            self.kids[node, : len(c)] = c
+        self.is_leaf = self.kids[:, 0] < 0
+
     def walk(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The first ``visits`` leaves of each row's best-bin-first walk, -1 beyond.
+        """The first ``visits`` leaves of each row's best-bin-first walk, -1 beyond."""
+        return np.concatenate([np.empty((0, visits), "i4"), *(self._walk(x[i : i + WALK], visits) for i in range(0, len(x), WALK))])
 
-        All rows advance together: a matrix holds the priority of each open
-        node for each row, and one step pops the best node of every row. An
-        inner node is replaced by its children, a leaf is a visit.
-        """
+    def _walk(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """Rows advance together: a queue holds the opened nodes' children and their similarity to the row, and
+        one step takes the best of every row's queue. An inner node is replaced by its children, a leaf is a visit."""
         out = np.full((len(x), visits), -1, "i4")
         if len(self.children) == 1:
             out[:, 0] = 0
             return out
-        similar = x @ self.centroids.T
-        open_ = np.full((len(x), len(self.children)), -np.inf, "f4")
-        open_[:, self.children[0]] = similar[:, self.children[0]]
+        width = self.kids.shape[1]
+        queue = np.full((len(x), 4 * width), -np.inf, "f4")
+        nodes = np.zeros((len(x), 4 * width), "i4")
+        used = np.zeros(len(x), "i4")
         count = np.zeros(len(x), "i4")
-        live = np.arange(len(x))
-        is_leaf = np.array([not len(c) for c in self.children])
-        while len(live):
-            best = open_[live].argmax(axis=1)
-            found = open_[live, best] > -np.inf
-            live, best = live[found], best[found]
-            open_[live, best] = -np.inf
-            leaf = is_leaf[best]
-            rows = live[leaf]
-            out[rows, count[rows]] = best[leaf]
-            count[rows] += 1
-            for node in np.unique(best[~leaf]):
-                rows, kids = live[(best == node)], self.children[node]
-                open_[rows[:, None], kids] = similar[rows[:, None], kids]
-            live = live[count[live] < visits]
-        return out
+        live, opened = np.arange(len(x)), np.zeros(len(x), "i4")
+        while True:
+            # the rows ``live`` open the inner nodes ``opened``
+            if len(live) and int(used[live].max()) + width > queue.shape[1]:
+                queue = np.concatenate([queue, np.full_like(queue, -np.inf)], axis=1)
+                nodes = np.concatenate([nodes, np.zeros_like(nodes)], axis=1)
+            kids = self.kids[opened]
+            near = np.einsum("rkd,rd->rk", self.centroids[kids], x[live])
+            near[kids < 0] = -np.inf
+            at = used[live][:, None] + np.arange(width)
+            queue[live[:, None], at], nodes[live[:, None], at] = near, kids
+            used[live] += width
+            # then all take leaves until the best node is an inner one
+            going = live
+            live, opened = [], []
+            while len(going):
+                best = queue[going].argmax(axis=1)
+                found = queue[going, best] > -np.inf
+                going, best = going[found], best[found]
+                queue[going, best] = -np.inf
+                node = nodes[going, best]
+                leaf = self.is_leaf[node]
+                live.append(going[~leaf]), opened.append(node[~leaf])
+                rows = going[leaf]
+                out[rows, count[rows]] = node[leaf]
+                count[rows] += 1
+                going = rows[count[rows] < visits]
+            live, opened = np.concatenate([np.empty(0, "i8"), *live]), np.concatenate([np.empty(0, "i4"), *opened])
+            if not len(live):
+                return out
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         own = (x @ centres.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        present, first = np.unique(own[order], return_index=True)
         total = np.zeros_like(centres)
-        np.add.at(total, own, x)
+        total[present] = np.add.reduceat(x[order], first, axis=0)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         centres = np.where(norm > 0, total / np.maximum(norm, 1e-9), centres)
     return centres
@@ -190,7 +225,7 @@ def fit_tree(x: np.ndarray, leaf_points: int, seed: int = 7) -> Tree:
     while todo:
         node, part = todo.pop()
         k = min(BRANCHING, -(-len(part) // leaf_points))
-        if k < 2 or len(children) + k > MAX_LEAVES:
+        if k < 2:
             continue
         centres = _kmeans(part, k, rng)
         own = (part @ centres.T).argmax(axis=1)
@@ -221,12 +256,12 @@ def _brute(packed: DataFrame, queries: np.ndarray, dim: int, k: int, floor: floa
         for batch in batches:
             y = _unit(_matrix(batch.column(0), dim))
             s = x @ y.T
+            n = min(k + 1, s.shape[1])
+            b = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
+            a = np.repeat(np.arange(len(x)), n)
             if floor is not None:
-                a, b = np.nonzero(s >= floor)
-            else:
-                n = min(k + 1, s.shape[1])
-                b = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
-                a = np.repeat(np.arange(len(x)), n)
+                near = s[a, b] >= floor
+                a, b = a[near], b[near]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a.astype("i4")), pa.array(s[a, b].astype("f8")), batch.column(0).take(pa.array(b))],
                 names=["a", "s", "q"],
@@ -246,28 +281,34 @@ def _brute(packed: DataFrame, queries: np.ndarray, dim: int, k: int, floor: floa
     return rows.column("a").to_numpy(), _matrix(rows.column("q"), dim)
 
 
-def calibrate(packed: DataFrame, tree: Tree, sample: np.ndarray, dim: int, k: int, floor: float | None, recall: float) -> tuple[int, float]:
-    """Leaf visits that reach ``recall`` on held-out queries, and the recall reached."""
-    rng = np.random.default_rng(11)
-    queries = sample[rng.choice(len(sample), min(CALIBRATION if floor is not None else 256, len(sample)), replace=False)]
-    a, near = _brute(packed, queries, dim, k, floor)
-    own = (near == queries[a]).all(axis=1) if len(a) else np.zeros(0, bool)
+def calibrate(packed: DataFrame, tree: Tree, held_out: np.ndarray, dim: int, k: int, floor: float | None, recall: float) -> tuple[int, float | None]:
+    """Leaf visits that reach ``recall`` on one half of the queries, and the recall reached on the other (None without any neighbour)."""
+    a, near = _brute(packed, held_out, dim, k, floor)
+    own = (near == held_out[a]).all(axis=1) if len(a) else np.zeros(0, bool)
     a, near = a[~own], near[~own]
-    if not len(a):
-        return min(4, tree.leaves), 1.0
-    order = tree.walk(_unit(queries), tree.leaves)
+    fits = a % 2 == 0
+    if not fits.any():
+        return min(4, tree.leaves), None
     home = tree.walk(_unit(near), 1)[:, 0]
-    place = (order[a] == home[:, None]).argmax(axis=1)
-    place.sort()
-    need = int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1
+    x, tried = _unit(held_out), 8
+    while True:
+        # the walk is widened until the share asked for is within it
+        tried = min(tried, tree.leaves)
+        met = tree.walk(x, tried)[a] == home[:, None]
+        place = np.where(met.any(axis=1), met.argmax(axis=1), tried)
+        ranked = np.sort(place[fits])
+        need = int(ranked[min(len(ranked) - 1, int(np.ceil(recall * len(ranked))) - 1)]) + 1
+        if need <= tried or tried == tree.leaves:
+            break
+        tried *= 2
     visits = min(tree.leaves, max(2, need))
-    return visits, float((place < visits).mean())
+    return visits, float((place[~fits] < visits).mean()) if (~fits).any() else None
 
 
 # --- the search --------------------------------------------------------------
 
 
-def _route(trees: dict, blocks: dict):
+def _route(trees: dict, blocks: dict, chunks: dict):
     def route(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -280,17 +321,22 @@ def _route(trees: dict, blocks: dict):
                     leaves = tree.walk(_unit(_matrix(part.column("q"), int(dim))), visits)
                 asks = part.column("asks").to_numpy(zero_copy_only=False)
                 salt = part.column("salt").to_numpy()
-                rows, leaf, block, role = [], [], [], []
+                rows, leaf, block, chunk, role = [], [], [], [], []
                 home = leaves[:, 0]
-                nb = np.array([blocks.get((int(dim), int(h)), 1) for h in home], "i4")
-                rows.append(np.arange(part.num_rows)), leaf.append(home), block.append(salt % nb), role.append(np.zeros(part.num_rows, "i1"))
+                split = lambda held, at: np.array([held.get((int(dim), int(h)), 1) for h in at], "i4")
+                # data goes to its block, in each chunk of queries that meets it
+                nc = split(chunks, home)
+                copies = np.repeat(np.arange(part.num_rows), nc)
+                rows.append(copies), leaf.append(home[copies]), block.append((salt % split(blocks, home))[copies]), role.append(np.zeros(len(copies), "i1"))
+                chunk.append(np.arange(len(copies)) - np.repeat(np.cumsum(nc) - nc, nc))
                 for v in range(leaves.shape[1]):
                     at = leaves[:, v]
                     who = np.flatnonzero((at >= 0) & asks)
-                    nb = np.array([blocks.get((int(dim), int(h)), 1) for h in at[who]], "i4")
+                    nb = split(blocks, at[who])
                     who_rep = np.repeat(who, nb)
                     first = np.repeat(np.cumsum(nb) - nb, nb)
                     rows.append(who_rep), leaf.append(at[who_rep]), block.append((np.arange(len(who_rep)) - first)), role.append(np.ones(len(who_rep), "i1"))
+                    chunk.append(((salt // 64) % np.maximum(1, split(chunks, np.maximum(at, 0))))[who_rep])
                 rows = np.concatenate(rows)
                 taken = part.select(["vkey", "dim", "q"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
@@ -298,9 +344,10 @@ def _route(trees: dict, blocks: dict):
                         *taken.columns,
                         pa.array(np.concatenate(leaf).astype("i4")),
                         pa.array(np.concatenate(block).astype("i4")),
+                        pa.array(np.concatenate(chunk).astype("i4")),
                         pa.array(np.concatenate(role).astype("i1")),
                     ],
-                    names=["vkey", "dim", "q", "leaf", "block", "role"],
+                    names=["vkey", "dim", "q", "leaf", "block", "chunk", "role"],
                 )
 
     return route
@@ -376,17 +423,22 @@ def similar_vectors(
     classes = keyed.groupBy("vkey").agg(
         F.first("dim").alias("dim"), F.first("q").alias("q"), F.max("asks").alias("asks")
     ).withColumn("salt", F.pmod(F.hash("vkey"), F.lit(1 << 20)))
-    sizes = {r["dim"]: r["n"] for r in packed.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    sizes = {r["dim"]: r["n"] for r in packed.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL).collect()}
     trees, report = {}, {}
     for dim, n in sizes.items():
-        if n < SMALL:
-            continue
-        share = min(1.0, FIT_SAMPLE / n)
-        threshold = int(share * (1 << 30))
-        rows = packed.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("unit_id"), F.lit(1 << 30)) < threshold)).select("q").limit(2 * FIT_SAMPLE).toArrow()
-        sample = _matrix(rows.column("q"), dim)
-        tree = fit_tree(_unit(sample), max(12, round(LEAF_SIZE * len(sample) / n)))
-        visits, got = calibrate(packed.where(F.col("dim") == dim), tree, sample, dim, k, floor, recall)
+        of_dim = packed.where(F.col("dim") == dim)
+        place = F.pmod(F.xxhash64("unit_id"), F.lit(1 << 30))
+        wanted = min(FIT_MOST, max(FIT_LEAST, FIT_A_LEAF * n // LEAF_SIZE))
+        fitted = int(min(FIT_SHARE, wanted / n) * (1 << 30))
+        asked = 2 * (CALIBRATION if floor is not None else CALIBRATION // 6)
+        held_from = (1 << 30) - int(min(1 - FIT_SHARE, asked / n) * (1 << 30))
+        # both are chosen by hash, so their sizes are as expected but for chance
+        rows = of_dim.where((place < fitted) | (place >= held_from)).select("q", (place >= held_from).alias("held")).toArrow()
+        held = rows.column("held").to_numpy(zero_copy_only=False)
+        every = _matrix(rows.column("q"), dim)
+        sample, held_out = every[~held], every[held][:asked]
+        tree = fit_tree(_unit(sample), max(LEAST_POINTS, round(LEAF_SIZE * len(sample) / n)))
+        visits, got = calibrate(of_dim, tree, held_out, dim, k, floor, recall)
         trees[dim] = (tree, visits)
         report[dim] = {"vectors": n, "leaves": tree.leaves, "visits": visits, "recall": got}
     similar_vectors.report = report
@@ -410,14 +462,16 @@ def similar_vectors(
         .mapInArrow(home, "dim int, leaf int, n long")
         .groupBy("dim", "leaf")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > BLOCK)
-        .limit(2 * MAX_LEAVES)
+        .where((F.col("n") > BLOCK) | (F.col("n") * max([1, *(v for _, v in trees.values())]) > CHUNK))
         .collect()
     )
+    # at most a row for each leaf of the trees
     blocks = {(r["dim"], r["leaf"]): -(-r["n"] // BLOCK) for r in heavy}
+    # as many queries visit a leaf as it has rows, times the visits of each, more or less
+    chunks = {(r["dim"], r["leaf"]): -(-r["n"] * trees.get(r["dim"], (None, 1))[1] // CHUNK) for r in heavy}
     hits = (
-        classes.mapInArrow(lambda it: _route(held.value, blocks)(it), "vkey long, dim int, q binary, leaf int, block int, role byte")
-        .groupBy("dim", "leaf", "block")
+        classes.mapInArrow(lambda it: _route(held.value, blocks, chunks)(it), "vkey long, dim int, q binary, leaf int, block int, chunk int, role byte")
+        .groupBy("dim", "leaf", "block", "chunk")
         .applyInArrow(_compare(k, floor), "a long, b long, cosine double")
     )
     top = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
@@ -455,9 +509,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar units of every twentieth unit (by hash of its id), against all units."""
     asks = F.pmod(F.xxhash64("unit_id"), F.lit(20)) == 0
-    near = similar_vectors(load(spark, sf_dir, "trace_units"), k=10, recall=0.9, asks=asks)
+    near = similar_vectors(load(spark, sf_dir, "trace_units"), k=10, recall=0.95, asks=asks)
     return near.withColumn("cosine", F.round("cosine", 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk}
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each length of vector with a tree: vectors, leaves, visits, and the recall on held-out queries against brute force."""
+    similar_vectors(load(spark, sf_dir, "trace_units"), k=10, recall=0.95)
+    rows = [(d, r["vectors"], r["leaves"], r["visits"], r["recall"]) for d, r in similar_vectors.report.items()]
+    return spark.createDataFrame(rows, "dim int, vectors long, leaves int, visits int, recall double")
+
+
+QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p1_recall": p1_recall}
 ORACLE: dict[str, str] = {}

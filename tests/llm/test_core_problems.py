@@ -164,3 +164,36 @@ def test_suffix_arrays_match_brute_force():
                 c[1].add(int(record[i]))
         got = {(n, tuple(codes[a : a + n])): (o, r) for n, at, size, records in terms.ngram_intervals(codes, record, None) for a, o, r in zip(at, size, records)}
         assert got == {k: (c, len(r)) for k, (c, r) in want.items()}
+
+
+def test_walks_are_best_first():
+    import heapq
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 8)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = vectors.fit_tree(x, 12)
+    assert tree.leaves > 40
+    got = tree.walk(x[:60], 9)
+    for row, leaves in zip(x[:60], got):
+        queue, seen = [(0.0, 0)], []
+        while queue and len(seen) < 9:
+            _, node = heapq.heappop(queue)
+            if not len(tree.children[node]):
+                seen.append(node)
+            for c in tree.children[node]:
+                heapq.heappush(queue, (-float(tree.centroids[c] @ row), int(c)))
+        assert leaves.tolist() == seen
+    every = tree.walk(x[:20], tree.leaves)
+    assert all(sorted(r) == sorted(n for n, c in enumerate(tree.children) if not len(c)) for r in every.tolist())
+
+
+def test_queries_of_a_leaf_are_split(spark, monkeypatch):
+    """Blocks and chunks change no result."""
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i:04d}", np.round(rng.normal(size=6), 4).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "unit_id string, embedding array<double>")
+    want = _rows(vectors.similar_vectors(df, k=4), "unit_id", "rank", "neighbour_id")
+    monkeypatch.setattr(vectors, "BLOCK", 60)
+    monkeypatch.setattr(vectors, "CHUNK", 70)
+    assert _rows(vectors.similar_vectors(df, k=4), "unit_id", "rank", "neighbour_id") == want and len(want) == 2000
