@@ -10,9 +10,14 @@ neighbouring slices combine, so the verdict on a session needs only them.
 Buckets hold a few sessions each, as a call of the state function costs far
 more than a message.
 
-A finite table is replayed as a stream of its files followed by an end
-marker, whose event time carries the watermark past everything: every slice
-closes, nothing is dropped as late.
+``conversation_stream`` builds the running stream: what arrives later than the
+lateness it allows, after its slice has closed, is dropped, and
+``dropped_late`` counts it. A finite table is replayed by ``rebuild``: its files in
+several micro-batches, so that slices meet their state again, under a watermark that
+waits for all of them, as no order of files is promised; only after the last of
+them an end marker arrives, whose event time carries the watermark past everything:
+every slice closes, nothing is dropped as late. A slice's state is written anew in each batch that
+brings it messages; slices of hours keep it small.
 
 Defined results
 * null and ``unknown`` session ids are no sessions;
@@ -45,10 +50,12 @@ SLICE_MS = 6 * 3600 * 1000
 ROWS_PER_BUCKET = 65_536
 #: Lateness a running stream allows before a slice closes.
 LATENESS_MS = 7 * 24 * 3600 * 1000
+#: Micro-batches in which a table is replayed, at most (it has no more than files).
+BATCHES = 4
 #: Values below are seconds, not milliseconds.
 SECONDS_BELOW = 100_000_000_000
-#: Event times are held between 1970 and this (the order of messages keeps the true time).
-LAST_MS = 8_900_000_000_000
+#: Event times are held between 1970 and this, the year 2112 (the order of messages keeps the true time): twice as much still fits a timestamp of nanoseconds.
+LAST_MS = 4_500_000_000_000
 _END = -1
 _USER, _ASSISTANT, _OTHER, _BLANK = 0, 1, 2, 3
 
@@ -158,24 +165,52 @@ def _close(slice_ms: int, with_messages: bool):
     return close
 
 
+def conversation_stream(slim: DataFrame, lateness_ms: int = LATENESS_MS, slice_ms: int = SLICE_MS, with_messages: bool = False) -> DataFrame:
+    """The closed slices of a stream of ``messages``, emitted as the watermark passes them by ``lateness_ms``."""
+    return (
+        slim.withWatermark("event_time", f"{lateness_ms} milliseconds")
+        .groupBy("bucket", "slice")
+        .applyInPandasWithState(
+            _close(slice_ms, with_messages), EMITTED, "rows binary", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+
+
+def dropped_late(progress: list) -> int:
+    """How many messages the batches of a query (its ``recentProgress``) have dropped as too late."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
 def rebuild(
     spark: SparkSession,
     path: str,
     with_messages: bool = False,
     buckets: int | None = None,
     slice_ms: int = SLICE_MS,
-    lateness_ms: int = LATENESS_MS,
+    batches: int = BATCHES,
 ) -> DataFrame:
     """Run the stream over the table at ``path`` to its end; the emitted rows, one per closed slice (and message)."""
     folder, only = _source_path(spark, path)
     table = spark.read.parquet(path)
     schema = table.schema
     buckets = buckets or max(1, table.count() // ROWS_PER_BUCKET)
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-len(table.inputFiles()) // batches)))
     if only:
         reader = reader.option("pathGlobFilter", only)
     slim = messages(reader.parquet(folder), buckets, slice_ms)
-    marker = fresh_path(spark, "p6-end")
+    marker, out, state = (fresh_path(spark, name) for name in ("p6-end", "p6-closed", "p6-state"))
+    # no message can be later than the whole span of event times
+    lateness_ms = LAST_MS
+    spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in slim.schema)).write.parquet(marker)
+    end = spark.readStream.schema(slim.schema).parquet(marker)
+
+    def run() -> None:
+        """All that has come since the last run of this query."""
+        closed = conversation_stream(slim.unionByName(end), lateness_ms, slice_ms, with_messages)
+        query = closed.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+
+    run()
     spark.range(1).select(
         F.lit(_END).cast("bigint").alias("bucket"),
         F.lit(0).cast("bigint").alias("slice"),
@@ -185,25 +220,8 @@ def rebuild(
         F.lit(0).cast("bigint").alias("seq"),
         F.lit(_OTHER).alias("who"),
         F.lit("").alias("unit_id"),
-    ).write.parquet(marker)
-    end = spark.readStream.schema(slim.schema).parquet(marker)
-    closed = (
-        slim.unionByName(end)
-        .withWatermark("event_time", f"{lateness_ms} milliseconds")
-        .groupBy("bucket", "slice")
-        .applyInPandasWithState(
-            _close(slice_ms, with_messages), EMITTED, "rows binary", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-    out = fresh_path(spark, "p6-closed")
-    query = (
-        closed.writeStream.format("parquet")
-        .option("checkpointLocation", fresh_path(spark, "p6-state"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    query.awaitTermination()
+    ).write.mode("append").parquet(marker)
+    run()
     return spark.read.schema(EMITTED).parquet(out)
 
 

@@ -188,6 +188,32 @@ def test_conversations(spark, tmp_path):
     assert conversations.verdicts(conversations.rebuild(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_running_stream_with_late_messages(spark, tmp_path):
+    """Late messages within the lateness join their slice, later ones are dropped and counted, repeated ones count once."""
+    h, t0 = 3_600_000, 1_699_999_200_000
+    columns = "unit_id string, session_id string, role string, text string, ts_ms long, seq long"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+        slim = conversations.messages(spark.readStream.schema(columns).parquet(source), 1, 6 * h)
+        closed = conversations.conversation_stream(slim, lateness_ms=24 * h, slice_ms=6 * h, with_messages=True)
+        query = closed.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return conversations.dropped_late(query.recentProgress)
+
+    assert arrive(("a1", "A", "user", "q", t0, 0), ("a2", "A", "assistant", "r", t0 + 1, 1)) == 0
+    # hours late, and a repeated delivery
+    assert arrive(("b1", "B", "user", "q", t0 + 20 * h, 5), ("a0", "A", "user", "first", t0 - 1, 2), ("a2", "A", "assistant", "r", t0 + 1, 1)) == 0
+    arrive(("c1", "C", "user", "q", t0 + 90 * h, 6))
+    # the slice of A has closed
+    assert arrive(("a9", "A", "user", "days late", t0 + 5, 7), ("c2", "C", "assistant", "r", t0 + 91 * h, 8)) == 1
+    arrive(("d1", "D", "user", "q", t0 + 900 * h, 9))
+    closed = spark.read.schema(conversations.EMITTED).parquet(out)
+    assert [r["unit_id"] for r in closed.where("session_id = 'A' AND place > 0").orderBy("slice", "place").collect()] == ["a0", "a1", "a2"]
+    assert {r["session_id"]: r["reason"] for r in conversations.verdicts(closed).collect()} == {"A": "no reply", "B": "no reply", "C": None}
+
+
 # --- 8 -----------------------------------------------------------------------------------
 
 
