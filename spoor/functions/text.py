@@ -20,9 +20,10 @@ STOPWORDS = (
 #: boundary knows Unicode, so ASCII borders are spelled out.
 _W = "[A-Za-z0-9_]"
 ENTITY_PATTERNS = (
-    (r"(?i)([A-Za-z0-9_.\\/-]*[.\\/][A-Za-z0-9_.\\/-]*[.\\/][A-Za-z0-9_.\\/-]*)"
-     r"|([A-Za-z0-9_-]+\.(?:ts|js|tsx|jsx|py|rs|go|java|c|cpp|cc|h|hpp|md|json|yaml|yml|toml|sh|css|html|sql))"
-     r"|((?:[A-Za-z0-9_.-]+\\)+[A-Za-z0-9_.-]+)", 0),
+    # a path begins where its run of signs does and is read once from left to right, so that long words cost no more than their length
+    (r"(?i)((?<![A-Za-z0-9_.\\/-])[A-Za-z0-9_-]*+[.\\/][A-Za-z0-9_-]*+[.\\/][A-Za-z0-9_.\\/-]*+)"
+     r"|((?<![A-Za-z0-9_-])[A-Za-z0-9_-]++\.(?:ts|js|tsx|jsx|py|rs|go|java|c|cpp|cc|h|hpp|md|json|yaml|yml|toml|sh|css|html|sql))"
+     r"|((?<![A-Za-z0-9_.-])(?:[A-Za-z0-9_.-]++\\)+[A-Za-z0-9_.-]++)", 0),
     (r"`([^`\n]{2,40})`", 1),
     (r'"([A-Za-z][A-Za-z0-9 _.\-/]{2,40})"', 1),
     (rf"(?<!{_W})[A-Z][a-z]+(?:[A-Z][a-z]+)+(?!{_W})", 0),

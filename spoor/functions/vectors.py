@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -16,24 +21,32 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, 0 if one is all zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+
+    def of(s: Column) -> Column:
+        return let(norm(s["a"]) * norm(s["b"]), lambda n: F.when(n > 0, dot(s["a"], s["b"]) / n).otherwise(F.lit(0.0)))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b")), of))
 
 
 def quantize(v: Column) -> Column:
     """(scale, q): the largest absolute value, and each element as v / scale * 127, halves rounded up."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    scale = F.when(top > 0, top).otherwise(F.lit(1.0))
-    return F.struct(
-        scale.cast("float").alias("scale"), F.transform(v, lambda x: F.floor(x / scale * 127 + 0.5).cast("tinyint")).alias("q")
-    )
+
+    def of(s: Column) -> Column:
+        q = F.transform(s["v"], lambda x: F.floor(x / s["scale"] * 127 + 0.5).cast("tinyint"))
+        return F.struct(s["scale"].cast("float").alias("scale"), q.alias("q"))
+
+    top = F.greatest(F.array_max(v), -F.array_min(v))
+    return let(F.struct(v.alias("v"), F.when(top > 0, top).otherwise(F.lit(1.0)).cast("double").alias("scale")), of)
 
 
 def dequantize(scale: Column, q: Column) -> Column:
     """The unit vector that q stands for; all zero stays so."""
+
+    def of(s: Column) -> Column:
+        return F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"])
+
     raw = F.transform(q, lambda x: x.cast("double") / 127 * scale)
-    n = norm(raw)
-    return F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw)
+    return F.when(q.isNotNull(), let(raw, lambda v: let(F.struct(v.alias("v"), norm(v).alias("n")), of)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

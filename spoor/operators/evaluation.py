@@ -48,10 +48,15 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     """b, c and p of the exact two-sided test and of the normal one with continuity correction."""
     n = pairs.agg(F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("b"), F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("c"))
     m, k = F.col("b") + F.col("c"), F.least("b", "c")
-    # ln of a binomial coefficient times 2^-m, summed up to the smaller count
-    lnfact = lambda v: F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(v, F.lit(1)).cast("bigint")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    term = lambda i: F.exp(lnfact(m) - lnfact(i) - lnfact(m - i) - m * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), F.lit(0.0), lambda s, i: s + term(i))
+    # the terms of the tail one from the other: ln C(m, i + 1) = ln C(m, i) + ln((m - i) / (i + 1))
+    first = -m * F.log(F.lit(2.0))
+
+    def step(s: Column, i: Column) -> Column:
+        ln = s["ln"] + F.log((m - i) / (i + 1))
+        return F.struct((s["sum"] + F.exp(ln)).alias("sum"), ln.alias("ln"))
+
+    places = F.filter(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), lambda i: i < k)
+    tail = F.aggregate(places, F.struct(F.exp(first).alias("sum"), first.alias("ln")), step)["sum"]
     z = F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)) / F.sqrt(m)
     return n.select(
         "b",

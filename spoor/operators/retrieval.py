@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions.text import entities, fingerprint, is_identity_query, is_temporal, min_max, mmr_lambda, tokens, type_compat
 from spoor.operators.graph import entity_hits, entity_weights, ppr, similar_hits, unit_entities
-from spoor.operators.identity import asks_about, naming_match, perspective
+from spoor.operators.identity import asks_about, names_someone, naming_match, perspective, tells
 from spoor.operators.lexical import bm25, bm25_index, coverage, query_terms
 from spoor.operators.ranking import first_of_each, mmr, top_k
 from spoor.runtime import materialize
@@ -114,7 +114,8 @@ def retrieve(
     """
     o = options or Options()
     q = materialize(query_features(queries, o), "q")
-    meta = units.withColumn("fp", fingerprint(F.coalesce("text", F.lit(""))))
+    # derived once: every step below reads it
+    meta = materialize(units.select("unit_id", "session_id", "cwd", "role", "text", "ts", "seq", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "meta")
     terms = query_terms(queries)
     index = bm25_index(units, terms)
     lexical = bm25(terms, index)
@@ -136,10 +137,9 @@ def retrieve(
         touched = touched.join(dense.select("query_id", "unit_id", "sem"), ["query_id", "unit_id"], "full")
     else:
         touched = touched.withColumn("sem", F.lit(None).cast("double"))
-    about = q.where("q_about is not null").select("query_id")
-    named = meta.where(F.lower("text").rlike(r"name|call|go by|goes by|going by|i'?m|i am|known as|that'?s me|go with|went with|answer to")).select("unit_id")
-    # questions about names are few; each is held against the units that name someone
-    touched = touched.join(about.join(named, how="cross").withColumn("said", F.lit(True)), ["query_id", "unit_id"], "full")
+    # questions about names also meet the units that answer them, whatever their words
+    about = q.where("q_about is not null").select("query_id", F.col("q_about").alias("about"))
+    touched = touched.join(about.join(tells(meta), "about").select("query_id", "unit_id"), ["query_id", "unit_id"], "full")
     out = excluded(q, meta, context, o)
     same = F.col("cwd").eqNullSafe(F.col("q_cwd")) if o.scope_to_project else F.lit(True)
     seen = (
@@ -186,7 +186,7 @@ def retrieve(
     rows = seen.join(pools, ["query_id", "inside"]).join(g_stats, "query_id", "left").join(cov, "query_id", "left").na.fill(0.0, ["cov"])
     g = F.when(F.col("g_max").isNull(), zero).otherwise(min_max(F.coalesce("g_raw", zero), F.col("g_min"), F.col("g_max")))
     rows = rows.withColumn("g", g).withColumn("h", fused(o, dense is not None)).withColumn(
-        "naming", F.when(F.col("said"), naming_match(F.when(F.col("said"), F.col("text"))))
+        "naming", naming_match(F.when(F.col("q_about").isNotNull() & names_someone(F.col("text")), F.col("text")))
     )
     rows = rows.withColumn("pc", perspective(F.col("q_about"), F.col("role"), F.col("text"), F.col("naming")))
     base = F.col("w_graph") * F.col("g") * F.greatest("bm_conf", "sem_conf") + (1 - F.col("w_graph")) * F.col("h")

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions import text as T
 from spoor.functions.vectors import cosine, dequantize, jaccard, quantize
 from spoor.operators.evaluation import answer_scores, mcnemar, paired, permutation_test, recall_mrr
-from spoor.operators.graph import edges, entity_hits, entity_weights, neighbours, ppr, unit_entities
+from spoor.operators.graph import LEAST, edges, entity_hits, entity_weights, neighbours, ppr, unit_entities
 from spoor.operators.identity import asks_about, identity_facts, identity_line, naming_match, perspective, sticky_identity
-from spoor.operators.lexical import bm25, bm25_index, query_terms
+from spoor.operators.lexical import bm25, bm25_index, coverage, query_terms
 from spoor.operators.ranking import top_k
-from spoor.operators.retrieval import Options, retrieve
-from spoor.operators.vector import CellIndex, exact_topk, similarities
+from spoor.operators.retrieval import Options, fused, retrieve
+from spoor.operators.vector import CellIndex, exact_topk, extremes, similarities
 from spoor.plans import sql as S
 from spoor.plans.queries_text import NOW_MS, PROJECT, fact_queries, fact_units
 from spoor.plans.registry import register
-from spoor.runtime import load
+from spoor.runtime import load, materialize, spread
 from spoor.sources.units import units
 from spoor.streaming.ingest import ingest_once
 
@@ -45,13 +45,13 @@ def cosine_topk(spark, sf_dir):
     return exact_topk(_asked(spark, sf_dir), _vectors(spark, sf_dir), 5).withColumn("cosine", F.round("cosine", 5))
 
 
-@register("ann_recall")
+@register("ann_recall", "SELECT TRUE AS met")
 def ann_recall(spark, sf_dir):
-    """Recall at 10 of the inverted file against exact search."""
+    """Whether recall at 10 of the inverted file against exact search is 0.85 or more."""
     asked, vectors = _asked(spark, sf_dir), _vectors(spark, sf_dir)
     exact = exact_topk(asked, vectors, 10).select("query_id", "unit_id")
-    near = CellIndex(vectors, cells=32).topk(asked, 10, probes=16).select("query_id", "unit_id", F.lit(1).alias("hit"))
-    return exact.join(near, ["query_id", "unit_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall_at_10"))
+    near = CellIndex(vectors).topk(asked, 10).select("query_id", "unit_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "unit_id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.85).alias("met"))
 
 
 _Q8 = "list_transform(v, lambda x: floor(x / s * 127 + 0.5))"
@@ -85,7 +85,7 @@ def sidecar_vectors(spark, sf_dir):
     "jaccard_pairs",
     f"WITH t AS (SELECT id, list_distinct({S.tokens('text')}) AS t FROM eval_facts), x AS (SELECT id, unnest(t) AS term FROM t), "
     "p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM x a JOIN x b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2) "
-    "SELECT id_a, id_b, round(n / (len(a.t) + len(b.t) - n)::DOUBLE, 6) AS jaccard FROM p JOIN t a ON a.id = id_a JOIN t b ON b.id = id_b WHERE n >= 0.4 * (len(a.t) + len(b.t) - n)",
+    "SELECT id_a, id_b, round(n / (len(a.t) + len(b.t) - n)::DOUBLE, 6) AS jaccard FROM p JOIN t a ON a.id = id_a JOIN t b ON b.id = id_b WHERE n >= 0.15 * (len(a.t) + len(b.t) - n)",
 )
 def jaccard_pairs(spark, sf_dir):
     t = load(spark, sf_dir, "eval_facts").select("id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
@@ -93,7 +93,7 @@ def jaccard_pairs(spark, sf_dir):
     met = x.alias("a").join(x.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
     both = met.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("n"))
     union = F.col("na") + F.col("nb") - F.col("n")
-    return both.where(F.col("n") >= 0.4 * union).select("id_a", "id_b", F.round(F.col("n") / union, 6).alias("jaccard"))
+    return both.where(F.col("n") >= 0.15 * union).select("id_a", "id_b", F.round(F.col("n") / union, 6).alias("jaccard"))
 
 
 @register("label_spread", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), "
@@ -115,7 +115,8 @@ _EDGES = "ed AS (SELECT a.unit_id AS src, b.unit_id AS dst, sum(w) AS w FROM ue
 
 def _graph(spark, sf_dir):
     """The entity graph of the documents: units, postings, weights."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("unit_id"), T.entities(F.col("text")).alias("ents"))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("unit_id"), T.entities(F.col("text")).alias("ents"))
+    docs = materialize(docs, "graph-docs")
     postings = unit_entities(docs)
     return docs, postings, entity_weights(postings, docs.agg(F.count("*").alias("n_units")))
 
@@ -172,23 +173,22 @@ def _ppr_sql(steps: int = 24, gamma: float = 0.6) -> str:
     parts = [
         f"WITH {_DOCS}, {S.FACT_QUERIES}, {_FQE}, {_HITS}, {_WEIGHTS}, {_EDGES}",
         "rw AS (SELECT src, sum(w) AS r FROM ed GROUP BY 1)",
-        "r0 AS MATERIALIZED (SELECT query_id, unit_id, hits / sum(hits) OVER (PARTITION BY query_id)::DOUBLE AS m FROM hits)",
-        "p0 AS (SELECT * FROM r0)",
+        "p0 AS MATERIALIZED (SELECT query_id, unit_id, hits / sum(hits) OVER (PARTITION BY query_id)::DOUBLE AS m FROM hits)",
     ]
     for i in range(1, steps + 1):
         parts.append(
-            f"p{i} AS MATERIALIZED (SELECT query_id, unit_id, sum(m) AS m FROM (SELECT query_id, unit_id, {1 - gamma} * m AS m FROM r0 "
-            f"UNION ALL SELECT query_id, dst, {gamma} * m * w / r FROM p{i - 1} JOIN ed ON src = unit_id JOIN rw USING (src) "
-            f"UNION ALL SELECT query_id, unit_id, {gamma} * m FROM p{i - 1} WHERE unit_id NOT IN (SELECT src FROM rw)) GROUP BY 1, 2)"
+            f"p{i} AS MATERIALIZED (SELECT query_id, unit_id, sum(m) AS m FROM (SELECT query_id, dst AS unit_id, {gamma}::DOUBLE * m * w / r AS m FROM p{i - 1} JOIN ed ON src = unit_id JOIN rw USING (src) WHERE m >= {LEAST}::DOUBLE "
+            f"UNION ALL SELECT query_id, unit_id, {gamma}::DOUBLE * m FROM p{i - 1} WHERE m >= {LEAST}::DOUBLE AND unit_id NOT IN (SELECT src FROM rw)) GROUP BY 1, 2)"
         )
-    return ", ".join(parts) + f" SELECT query_id, unit_id, round(m, 4) AS mass FROM p{steps} WHERE round(m, 4) >= 0.001"
+    kept = " UNION ALL ".join(f"SELECT query_id, unit_id, CASE WHEN m >= {LEAST}::DOUBLE THEN {1 - gamma}::DOUBLE * m ELSE m END AS m FROM p{i}" for i in range(steps))
+    return ", ".join(parts) + f" SELECT query_id, unit_id, round(sum(m), 6) AS mass FROM ({kept} UNION ALL SELECT query_id, unit_id, m FROM p{steps}) GROUP BY 1, 2"
 
 
 @register("ppr_mass", _ppr_sql())
 def ppr_mass(spark, sf_dir):
     _, postings, weights = _graph(spark, sf_dir)
     seeds = hits_of_entities(spark, sf_dir).select("query_id", "unit_id", F.col("hits").cast("double").alias("seed"))
-    return ppr(seeds, postings, weights).select("query_id", "unit_id", "mass")
+    return ppr(seeds, postings, weights).select("query_id", "unit_id", F.round("mass", 6).alias("mass"))
 
 
 # --- fusion and retrieval ---------------------------------------------------------------
@@ -214,9 +214,9 @@ def _entity_vectors(spark, sf_dir, *texts):
 
 _SCORES = (
     f"ff AS (SELECT id AS unit_id, text FROM eval_facts), {S.FACT_QUERIES}, {S.bm25('ff', 'text', 'fq')}, "
-    "vec AS (SELECT vec_id AS v, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), "
-    "fv AS (SELECT id AS unit_id, e FROM eval_facts JOIN vec ON v = substring(id, 2)::BIGINT % 500), "
-    "qv AS (SELECT query_id, e FROM fq JOIN vec ON v = substring(id, 2)::BIGINT * 7 % 500), "
+    "vec AS (SELECT vec_id AS v, embedding::DOUBLE[] AS e FROM embeddings), "
+    "fv AS (SELECT id AS unit_id, e FROM eval_facts JOIN vec ON v = substring(id, 2)::BIGINT % (SELECT count(*) FROM embeddings)), "
+    "qv AS (SELECT query_id, e FROM fq JOIN vec ON v = substring(id, 2)::BIGINT * 7 % (SELECT count(*) FROM embeddings)), "
     f"sem AS (SELECT query_id, unit_id, (round({S.cosine('qv.e', 'fv.e')}, 9) + 1) / 2 AS sem FROM qv, fv), "
     "b AS (SELECT query_id, unit_id, coalesce(bm, 0) AS bm, sem FROM sem LEFT JOIN bm USING (query_id, unit_id)), "
     "k AS (SELECT *, min(bm) OVER w AS bl, max(bm) OVER w AS bh, min(sem) OVER w AS sl, max(sem) OVER w AS sh FROM b WINDOW w AS (PARTITION BY query_id)), "
@@ -228,31 +228,35 @@ _SCORES = (
 
 
 def _fused(spark, sf_dir, fusion: str):
-    """Fused scores of a stated query set over the facts: vector scores in blocks, joined to BM25."""
+    """Fused scores of a stated query set over the facts.
+
+    Pairs are made only where a term is shared, and of the nearest facts: all others score
+    by their similarity alone, so no more than the ten nearest can be among the first ten. What scores 0 is not found.
+    The extremes of a query's similarities come from the scan.
+    """
     facts, asked = _fact_vectors(spark, sf_dir)
+    facts, asked = materialize(facts, "fact-vectors"), materialize(asked, "asked-vectors")
     n = facts.count()
-    # all similarities are wanted here, as the least of a pool enters its scale
-    sem = exact_topk(asked, facts, max(1, n)).select("query_id", "unit_id", ((F.round("cosine", 9) + 1) / 2).alias("sem"))
+    half = lambda c: (F.round(c, 9) + 1) / 2
+    near = exact_topk(asked, facts, 30).select("query_id", "unit_id")
     terms = query_terms(fact_queries(spark, sf_dir))
     index = bm25_index(fact_units(spark, sf_dir), terms)
-    from spoor.operators.lexical import coverage
-
-    w = Window.partitionBy("query_id")
-    both = sem.join(bm25(terms, index), ["query_id", "unit_id"], "left").na.fill(0.0, ["bm"])
-    for c in ("bm", "sem"):
-        both = both.withColumn(f"{c}_min", F.min(c).over(w)).withColumn(f"{c}_max", F.max(c).over(w))
+    lexical = materialize(bm25(terms, index), "fact-bm25")
+    pairs = lexical.select("query_id", "unit_id").unionByName(near).distinct().join(asked, "query_id").join(facts, "unit_id")
+    sem = pairs.select("query_id", "unit_id", half(cosine(F.col("qvec").cast("array<double>"), F.col("embedding").cast("array<double>"))).alias("sem"))
+    range_ = extremes(asked, facts).select("query_id", half(F.col("lowest")).alias("sem_min"), half(F.col("highest")).alias("sem_max"))
+    bm_range = lexical.groupBy("query_id").agg(F.when(F.count("*") >= n, F.min("bm")).otherwise(F.lit(0.0)).alias("bm_min"), F.max("bm").alias("bm_max"))
+    both = sem.join(lexical, ["query_id", "unit_id"], "left").join(range_, "query_id").join(bm_range, "query_id", "left").na.fill(0.0, ["bm", "bm_min", "bm_max"])
     both = both.withColumn("bm_conf", F.least(F.lit(1.0), F.col("bm_max") / max(1.2, min(4.0, 1.2 + n / 200))))
     both = both.withColumn("sem_conf", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (2 * F.col("sem_max") - 1 - 0.55) / 0.25)))
-    from spoor.operators.retrieval import fused
-
-    scored = both.join(coverage(terms, index), "query_id", "left").na.fill(0.0, ["cov"]).withColumn("score", F.round(fused(Options(fusion=fusion), True), 6))
+    scored = both.join(coverage(terms, index), "query_id", "left").na.fill(0.0, ["cov"]).withColumn("score", F.round(fused(Options(fusion=fusion), True), 6)).where("score > 0")
     return top_k(scored, 10, F.desc("score"), "unit_id").select("query_id", "unit_id", "rank", "score")
 
 
 for _name, _fusion, _column in (("fused_scores", "coverage", "by_coverage"), ("fusion_max", "max", "by_max"), ("fusion_weighted", "weighted", "by_weight")):
     register(
         _name,
-        f"WITH {_SCORES}, r AS (SELECT query_id, unit_id, round({_column}, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({_column}, 6) DESC, unit_id)::INT AS rank FROM x) SELECT * FROM r WHERE rank <= 10",
+        f"WITH {_SCORES}, r AS (SELECT query_id, unit_id, round({_column}, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({_column}, 6) DESC, unit_id)::INT AS rank FROM x WHERE round({_column}, 6) > 0) SELECT * FROM r WHERE rank <= 10",
     )(lambda spark, sf_dir, fusion=_fusion: _fused(spark, sf_dir, fusion))
 
 

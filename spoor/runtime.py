@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 import uuid
@@ -16,17 +18,20 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a temporary
-    folder of this machine is used.
+    Only where that setting is absent and all runs on one machine (tests) a
+    temporary folder of this machine is used; on a cluster its absence is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = tempfile.mkdtemp(prefix="spoor-")
+        atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
     return _LOCAL[key]
 
 
@@ -47,6 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly expressions, where it has fewer partitions than those; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -107,8 +107,11 @@ def test_ppr_equals_the_matrix_form(spark):
         rows = w.sum(1)
         p = 0.4 * r + 0.6 * (np.where(rows > 0, p / np.maximum(rows, 1e-12), 0) @ w + np.where(rows > 0, 0, p))
     seeds = spark.createDataFrame([("q", "a", 1.0), ("q", "e", 1.0)], "query_id string, unit_id string, seed double")
+    got = {x["unit_id"]: x["mass"] for x in graph.ppr(seeds, postings, weights, least=0).collect()}
+    assert np.allclose([got.get(n, 0) for n in names], p, atol=1e-9)
+    # amounts that stay where they are when small change little, and nothing of the whole
     got = {x["unit_id"]: x["mass"] for x in graph.ppr(seeds, postings, weights).collect()}
-    assert np.allclose([got.get(n, 0) for n in names], p, atol=1e-5)
+    assert np.allclose([got.get(n, 0) for n in names], p, atol=2e-3) and abs(sum(got.values()) - 1) < 1e-9
 
 
 def test_diversity():
@@ -119,7 +122,7 @@ def test_diversity():
     assert ranking.select_diverse([1.0, 1.0, 0.9], words, 3, 0.5) == [0, 2, 1]
 
 
-def test_vector_search(spark):
+def test_vector_search(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(10, 8))[rng.integers(0, 10, 400)] + 0.3 * rng.normal(size=(400, 8))
     df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "unit_id string, embedding array<double>")
@@ -129,6 +132,10 @@ def test_vector_search(spark):
     assert exact == {(f"v{i:03d}", f"v{j:03d}") for i in range(20) for j in np.argsort(-(n @ n[i]))[:10]}
     index = CellIndex(df.where("unit_id <> 'v007'"), cells=10)
     index.add(df.where("unit_id = 'v007'"))
+    index.save(str(tmp_path / "index"))
+    index = CellIndex.read(spark, str(tmp_path / "index"))
+    index.remove(df.where("unit_id = 'v399'"))
+    assert index.vectors.count() == 399 and index.vectors.where("unit_id = 'v399'").count() == 0
     near = {(r["query_id"], r["unit_id"]) for r in index.topk(asked, 10, 5).collect()}
     assert len(near & exact) / len(exact) >= 0.85 and ("v007", "v007") in near
 
