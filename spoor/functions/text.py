@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words no token or entity may be (fixed values).
 STOPWORDS = (
@@ -30,6 +34,8 @@ ENTITY_PATTERNS = (
     (rf"(?<!{_W})[a-z]+(?:_[a-z]+)+(?!{_W})", 0),
     (rf"(?<!{_W})[A-Z][A-Z0-9][A-Z0-9]+(?!{_W})", 0),
 )
+#: Signs kept of arguments that are no string.
+ARGUMENTS = 200
 #: Entities kept for one text.
 MAX_ENTITIES = 16
 
@@ -99,13 +105,49 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z0-9]*\n?", ""), r"\n?```$", "")
 
 
+def flatten_value(value) -> str:
+    """Text of message content as parsed from JSON: a string, or a list of blocks, of which results hold content again."""
+    if isinstance(value, str):
+        return value
+    parts = []
+    for block in value if isinstance(value, list) else []:
+        if isinstance(block, str):
+            parts.append(block)
+        elif isinstance(block, dict):
+            kind, text = block.get("type"), block.get("text")
+            if kind == "toolCall":
+                given = block.get("arguments")
+                # only what is written out here is cut
+                parts.append(f"[tool:{block.get('name')}] " + (given if isinstance(given, str) else "" if given is None else json.dumps(given, separators=(",", ":"), ensure_ascii=False)[:ARGUMENTS]))
+            elif kind == "toolResult":
+                parts.append("[result] " + flatten_value(block.get("content")))
+            elif isinstance(text, str):
+                parts.append(text)
+    return "\n".join(parts)
+
+
+@F.pandas_udf(StringType())
+def flatten_json(content: pd.Series) -> pd.Series:
+    """Text of message content given as JSON, to any depth; what is no JSON is text itself, null gives ''."""
+
+    def one(raw):
+        if raw is None or not raw[:1] in ("[", '"'):
+            return raw or ""
+        try:
+            return flatten_value(json.loads(raw))
+        except ValueError:
+            return raw
+
+    return content.map(one)
+
+
 def flatten_blocks(blocks: Column) -> Column:
-    """Text of an array of structs (type, text, name, arguments, content), one block a line."""
+    """Text of an array of structs (type, text, name, arguments as a string, content as text), one block a line."""
 
     def one(b: Column) -> Column:
         return (
             F.when(b["type"] == "text", b["text"])
-            .when(b["type"] == "toolCall", F.concat(F.lit("[tool:"), b["name"], F.lit("] "), F.substring(b["arguments"], 1, 200)))
+            .when(b["type"] == "toolCall", F.concat(F.lit("[tool:"), b["name"], F.lit("] "), b["arguments"]))
             .when(b["type"] == "toolResult", F.concat(F.lit("[result] "), F.coalesce(b["content"], F.lit(""))))
             .otherwise(b["text"])
         )

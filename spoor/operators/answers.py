@@ -45,9 +45,14 @@ def calibrate(answers: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     return base.select("answer_id", (F.size(warnings) == 0).alias("ok"), warnings.alias("warnings"), "fences", "json_parses", "entity_coverage", "verbatim")
 
 
-def evidence_block(hits: DataFrame, now_ms: int, n: int = 220, header: str = HEADER) -> DataFrame:
-    """(query_id, block): the hits of each query as one text, best first. Hits are a few rows a query."""
+def evidence_lines(hits: DataFrame, now_ms: int, n: int = 220) -> DataFrame:
+    """(query_id, lines): a line for each hit of a query, best first. Hits are a few rows a query."""
     session = F.when(F.col("session_name").isNotNull() & (F.col("session_name") != ""), F.concat(F.lit(' • "'), F.col("session_name"), F.lit('"'))).otherwise(F.lit(""))
     line = F.concat(F.lit("- ["), rel_time(F.col("ts"), F.lit(now_ms)), session, F.lit(" • "), F.col("reason"), F.lit("] "), snippet(F.col("text"), n))
     lines = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
-    return lines.select("query_id", F.concat_ws("\n", F.lit(header), F.transform("lines", lambda s: s["line"])).alias("block"))
+    return lines.select("query_id", F.transform("lines", lambda s: s["line"]).alias("lines"))
+
+
+def evidence_block(hits: DataFrame, now_ms: int, n: int = 220, header: str = HEADER) -> DataFrame:
+    """(query_id, block): the hits of each query as one text, best first."""
+    return evidence_lines(hits, now_ms, n).select("query_id", F.concat_ws("\n", F.lit(header), F.array_join("lines", "\n")).alias("block"))

@@ -180,7 +180,7 @@ def embed(units: DataFrame, encoder, limit: int | None = None) -> DataFrame:
     No model is bundled: pass a ``pandas_udf`` that loads one. ``limit`` bounds the
     units encoded, in order of arrival.
     """
-    todo = units.where((F.col("embedding").isNull() if "embedding" in units.columns else F.lit(True)) & F.col("text").rlike(r"\\S"))
+    todo = units.where((F.col("embedding").isNull() if "embedding" in units.columns else F.lit(True)) & F.col("text").rlike(r"\S"))
     if limit is not None:
         todo = todo.orderBy("seq", "unit_id").limit(limit)
     return todo.select("unit_id", encoder(F.col("text")).cast("array<double>").alias("embedding")).where(F.size("embedding") > 0)

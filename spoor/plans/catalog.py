@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spoor.plans import queries_search, queries_text  # noqa: F401
+from spoor.plans import queries_names, queries_search, queries_text  # noqa: F401
 from spoor.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

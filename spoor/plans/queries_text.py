@@ -122,10 +122,9 @@ def type_calibrated(spark, sf_dir):
     return fact_queries(spark, sf_dir).join(facts, "id").select("query_id", T.type_compat(F.col("text"), F.col("fact")).alias("compat"))
 
 
-@register("snippets", f"SELECT doc_id, {S.snippet('text', 120)} AS snippet FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~\\n\\r\\tÀ-ÿ–—’“”„…•]')")
+@register("snippets", f"SELECT doc_id, {S.snippet('text', 120)} AS snippet FROM documents WHERE text IS NOT NULL")
 def snippets(spark, sf_dir):
-    plain = load(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[^ -~\\n\\r\\tÀ-ÿ–—’“”„…•]"))
-    return plain.select("doc_id", T.snippet(F.col("text"), 120).alias("snippet"))
+    return load(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
 @register("relative_times", f"WITH {S.UNITS} SELECT unit_id, {S.rel_time('ts', NOW_MS)} AS age FROM u WHERE ts IS NOT NULL")

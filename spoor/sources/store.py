@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from spoor.functions.text import entities, fingerprint, tokens
 from spoor.functions.vectors import dequantize, quantize
+from spoor.operators.identity import sticky_identity
+from spoor.operators.vector import embed
 from spoor.sources.units import DAY_MS, enrich, merge_foreign, retain
 
 UNIT_SCHEMA = T.StructType(
@@ -65,6 +67,26 @@ class UnitStore:
         new = foreign.select(*UNIT_SCHEMA.names).join(mine.select("unit_id"), "unit_id", "left_anti")
         new.write.mode("append").partitionBy("cwd").parquet(f"{self.path}/units")
 
+    def mint(self, raw: DataFrame, now_ms: int) -> DataFrame:
+        """Raw messages with new ids: the time and a number, both in base 36, distinct within the batch."""
+        number = F.lower(F.conv(F.monotonically_increasing_id().cast("string"), 10, 36))
+        return raw.withColumn("unit_id", F.concat(F.lit("u"), F.lower(F.conv(F.lit(str(now_ms)), 10, 36)), F.lit("_"), number))
+
+    def identity(self, fresh: DataFrame) -> DataFrame:
+        """Fresh names (one row of ``identity_facts``), filled in from the newest saved ones, and saved if any is known."""
+        saved = self._table("identity", f"{', '.join(f'{n} {t}' for n, t in fresh.dtypes)}, saved_at timestamp")
+        newest = saved.orderBy(F.desc("saved_at")).limit(1).drop("saved_at")
+        blank = self.spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in fresh.dtypes))
+        names = sticky_identity(fresh, newest if newest.count() else blank).collect()
+        now = self.spark.createDataFrame(names, fresh.schema)
+        if names and (names[0]["agent_name"] or names[0]["user_name"]):
+            now.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/identity")
+        return now
+
+    def embed(self, encoder, model: str, limit: int | None = None) -> None:
+        """Give units without a vector of ``model`` one by ``encoder`` (a column of texts to a column of vectors), at most ``limit`` in order of arrival."""
+        self.save_vectors(embed(self.load(model=model), encoder, limit), model)
+
     def save_vectors(self, vectors: DataFrame, model: str) -> None:
         """Append vectors (unit_id, embedding) in 8 bits an element."""
         packed = vectors.where(F.size("embedding") > 0).withColumn("c", quantize(F.col("embedding")))
@@ -122,14 +144,42 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def migrate(spark: SparkSession, legacy: str, store: UnitStore) -> DataFrame:
-    """Move a legacy store into a new one; (units, vectors) moved."""
+class TornStore(ValueError):
+    """A store file that cannot be read; nothing is written over it."""
+
+
+def torn_files(spark: SparkSession, path: str) -> list[str]:
+    """The files at ``path`` that are no store of the old layout."""
+    raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
+    return [r["path"] for r in raw.where(F.from_json("content", LEGACY)["units"].isNull()).select("path").collect()]
+
+
+def migrate(spark: SparkSession, legacy: str, store: UnitStore, backup: str | None = None) -> DataFrame:
+    """Move a legacy store into a new one: (units, vectors, bytes_before, bytes_after).
+
+    A torn file stops the move before anything is written. The files are copied
+    to ``backup`` first, if given.
+    """
+    if torn := torn_files(spark, legacy):
+        raise TornStore(f"cannot read {torn}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+
+    def size(path: str) -> int:
+        at = hadoop.Path(path)
+        fs = at.getFileSystem(conf)
+        return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+    if backup is not None:
+        a, b = hadoop.Path(legacy), hadoop.Path(backup)
+        hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
     rows = read_legacy(spark, legacy)
     store.merge(rows)
     vectors = rows.where(F.size("embedding") > 0)
     model = (vectors.select("model").first() or [None])[0]
     store.save_vectors(vectors.select("unit_id", "embedding"), model or "unknown")
-    return rows.agg(F.count("*").alias("units"), F.count_if(F.size("embedding") > 0).alias("vectors"))
+    moved = rows.agg(F.count("*").alias("units"), F.count_if(F.size("embedding") > 0).alias("vectors"))
+    return moved.withColumn("bytes_before", F.lit(size(legacy)).cast("bigint")).withColumn("bytes_after", F.lit(size(store.path)).cast("bigint"))
 
 
 # --- conversations with questions, and run files ------------------------------------------

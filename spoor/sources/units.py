@@ -53,9 +53,10 @@ def units(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
 
 
-def enrich(raw: DataFrame, full_text: str = "text") -> DataFrame:
+def enrich(raw: DataFrame, full_text: str = "text", extractor=None) -> DataFrame:
     """What is derived at capture: cut text, fingerprint of the full text, tokens and entities of the cut one.
 
+    ``extractor`` (a column of texts to a column of arrays of names) adds what a language model finds to the patterns.
     Rows of other roles, of fewer than three signs or of marks alone are no units.
     """
     kept = raw.where(
@@ -65,7 +66,7 @@ def enrich(raw: DataFrame, full_text: str = "text") -> DataFrame:
         kept.withColumn("fp", fingerprint(F.col(full_text)))
         .withColumn("text", F.expr(f"left({full_text}, case when role = 'tool' then {TOOL_CAP} else {TEXT_CAP} end)"))
         .withColumn("tokens", tokens(F.col("text")))
-        .withColumn("ents", entities(F.col("text")))
+        .withColumn("ents", entities(F.col("text"), extractor(F.col("text")) if extractor else None))
     )
 
 

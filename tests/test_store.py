@@ -67,7 +67,7 @@ def test_runs_must_match(spark):
 def test_flatten_blocks(spark):
     blocks = "b array<struct<type:string,text:string,name:string,arguments:string,content:string>>"
     df = spark.createDataFrame([([("text", "hi", None, None, None), None, ("toolCall", None, "bash", "x" * 300, None), ("toolResult", None, None, None, "ok")],)], blocks)
-    assert df.select(flatten_blocks(F.col("b")).alias("t")).first()["t"] == f"hi\n[tool:bash] {'x' * 200}\n[result] ok"
+    assert df.select(flatten_blocks(F.col("b")).alias("t")).first()["t"] == f"hi\n[tool:bash] {'x' * 300}\n[result] ok"
 
 
 @pytest.mark.parametrize("raw, want", [("3", 3), ("", 7), (None, 7), ("abc", 7), ("inf", 7), ("99", 10), ("0", 0)])
