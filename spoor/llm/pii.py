@@ -9,8 +9,8 @@ both kinds are known from the list of names or alike to it by their endings,
 and a name that is also a common word counts only beside another.
 
 One narrow pass in Arrow batches: no shuffle but that which takes each unit
-once. The name list is collected up to ``MAX_NAMES`` names (a bounded,
-documented size; the table is fixed and far smaller).
+once. The name list is sent to all tasks; one of more than ``MAX_NAMES`` names is an error
+(the table is fixed and far smaller).
 
 Defined results
 * null and blank texts hold nothing; redaction leaves them as they are;
@@ -361,7 +361,9 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def _names(names: DataFrame) -> Names:
-    rows = names.select(F.trim("name").alias("name"), F.lower(F.trim("kind")).alias("kind")).where("name <> ''").distinct().limit(MAX_NAMES).collect()
+    rows = names.select(F.trim("name").alias("name"), F.lower(F.trim("kind")).alias("kind")).where("name <> ''").distinct().limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"the list holds more than {MAX_NAMES} names; none is left out silently")
     return Names([(r["name"], r["kind"]) for r in rows])
 
 
