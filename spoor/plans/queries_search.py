@@ -181,14 +181,14 @@ def _ppr_sql(steps: int = 24, gamma: float = 0.6) -> str:
             f"UNION ALL SELECT query_id, unit_id, {gamma}::DOUBLE * m FROM p{i - 1} WHERE m >= {LEAST}::DOUBLE AND unit_id NOT IN (SELECT src FROM rw)) GROUP BY 1, 2)"
         )
     kept = " UNION ALL ".join(f"SELECT query_id, unit_id, CASE WHEN m >= {LEAST}::DOUBLE THEN {1 - gamma}::DOUBLE * m ELSE m END AS m FROM p{i}" for i in range(steps))
-    return ", ".join(parts) + f" SELECT query_id, unit_id, round(sum(m), 6) AS mass FROM ({kept} UNION ALL SELECT query_id, unit_id, m FROM p{steps}) GROUP BY 1, 2"
+    return ", ".join(parts) + f" SELECT query_id, unit_id, round(sum(m), 12) AS mass FROM ({kept} UNION ALL SELECT query_id, unit_id, m FROM p{steps}) GROUP BY 1, 2"
 
 
 @register("ppr_mass", _ppr_sql())
 def ppr_mass(spark, sf_dir):
     _, postings, weights = _graph(spark, sf_dir)
     seeds = hits_of_entities(spark, sf_dir).select("query_id", "unit_id", F.col("hits").cast("double").alias("seed"))
-    return ppr(seeds, postings, weights).select("query_id", "unit_id", F.round("mass", 6).alias("mass"))
+    return ppr(seeds, postings, weights).select("query_id", "unit_id", F.round("mass", 12).alias("mass"))
 
 
 # --- fusion and retrieval ---------------------------------------------------------------
