@@ -10,7 +10,8 @@ measure the recall that is reported (``p1_recall``).
 Plan. Vectors are packed to 16-bit integers in one narrow pass and written
 once. Equal vectors collapse into one class (keyed by a 64-bit hash of the packed
 vector), so that a group of copies costs one search however large it is. Classes are sent to their home leaf as data
-and to the first ``visits`` leaves of their walk as queries; each leaf is one
+and to the first ``visits`` leaves of their walk as queries, in rounds of so many queries that no round shuffles more than
+ROUND + 1 copies of the vectors however many visits the calibration asks for; a round's files are deleted before the next. Each leaf is one
 group (large leaves are split into blocks, which all queries of the leaf
 visit, and the queries of a block into chunks, each with the data of the block), compared by matrix products. Per query and leaf at most ``k`` rows
 leave the group, and a windowed top-k merges them.
@@ -26,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spoor.runtime import load, materialize
+from spoor.runtime import load, materialize, swept
 
 #: Vectors on which a tree is fitted: FIT_A_LEAF for each leaf wished for, at least and at most these (documented bounds of the
 #: sample). At most means that beyond 33 million vectors leaves grow.
@@ -50,6 +52,10 @@ BRANCHING = 16
 BLOCK = 8_192
 #: Queries wished for in one task.
 CHUNK = 32_768
+#: Copies of the vectors that one round of the search sends to leaves as queries, at most.
+ROUND = 4
+#: Bits of the hash that deals queries out to rounds, blocks and chunks.
+SALT = 20
 #: Rows that walk the tree together.
 WALK = 4_096
 #: Queries of the calibration against brute force.
@@ -308,21 +314,37 @@ def calibrate(packed: DataFrame, tree: Tree, held_out: np.ndarray, dim: int, k:
 # --- the search --------------------------------------------------------------
 
 
-def _route(trees: dict, blocks: dict, chunks: dict):
+def _home(trees):
+    """The leaf of each class; leaf 0 where its length has no tree."""
+
+    def home(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                tree, _ = trees.value.get(int(dim), (None, 1))
+                part = batch.filter(pa.array(dims == dim))
+                at = tree.walk(_unit(_matrix(part.column("q"), int(dim))), 1)[:, 0] if tree else np.zeros(part.num_rows, "i4")
+                yield part.append_column("home", pa.array(at.astype("i4")))
+
+    return home
+
+
+def _route(trees: dict, blocks: dict, chunks: dict, turn: int, rounds: int):
     def route(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
+                home, salt = part.column("home").to_numpy(), part.column("salt").to_numpy().astype("i8")
+                asks = part.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+                # the queries of this round
+                asking = np.flatnonzero(asks & (salt * rounds >> SALT == turn))
                 tree, visits = trees.get(int(dim), (None, 1))
                 if tree is None:
-                    leaves = np.zeros((part.num_rows, 1), "i4")
+                    leaves = np.zeros((len(asking), 1), "i4")
                 else:
-                    leaves = tree.walk(_unit(_matrix(part.column("q"), int(dim))), visits)
-                asks = part.column("asks").to_numpy(zero_copy_only=False)
-                salt = part.column("salt").to_numpy()
+                    leaves = tree.walk(_unit(_matrix(part.column("q").take(pa.array(asking)), int(dim))), visits)
                 rows, leaf, block, chunk, role = [], [], [], [], []
-                home = leaves[:, 0]
                 split = lambda held, at: np.array([held.get((int(dim), int(h)), 1) for h in at], "i4")
                 # data goes to its block, in each chunk of queries that meets it
                 nc = split(chunks, home)
@@ -330,13 +352,12 @@ def _route(trees: dict, blocks: dict, chunks: dict):
                 rows.append(copies), leaf.append(home[copies]), block.append((salt % split(blocks, home))[copies]), role.append(np.zeros(len(copies), "i1"))
                 chunk.append(np.arange(len(copies)) - np.repeat(np.cumsum(nc) - nc, nc))
                 for v in range(leaves.shape[1]):
-                    at = leaves[:, v]
-                    who = np.flatnonzero((at >= 0) & asks)
-                    nb = split(blocks, at[who])
-                    who_rep = np.repeat(who, nb)
+                    met = leaves[:, v] >= 0
+                    who, at = asking[met], leaves[met, v]
+                    nb = split(blocks, at)
                     first = np.repeat(np.cumsum(nb) - nb, nb)
-                    rows.append(who_rep), leaf.append(at[who_rep]), block.append((np.arange(len(who_rep)) - first)), role.append(np.ones(len(who_rep), "i1"))
-                    chunk.append(((salt // 64) % np.maximum(1, split(chunks, np.maximum(at, 0))))[who_rep])
+                    rows.append(np.repeat(who, nb)), leaf.append(np.repeat(at, nb)), block.append(np.arange(len(first)) - first), role.append(np.ones(len(first), "i1"))
+                    chunk.append(np.repeat(salt[who] // 64 % split(chunks, at), nb))
                 rows = np.concatenate(rows)
                 taken = part.select(["vkey", "dim", "q"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
@@ -400,6 +421,31 @@ def _compare(k: int, floor: float | None):
     return compare
 
 
+def fitted(packed: DataFrame, k: int, floor: float | None, recall: float) -> tuple[dict, dict]:
+    """(tree, visits) of each length with SMALL vectors or more, and what is known of it."""
+    with swept(packed.sparkSession):
+        sizes = {r["dim"]: r["n"] for r in packed.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL).collect()}
+    trees, report = {}, {}
+    for dim, n in sizes.items():
+        of_dim = packed.where(F.col("dim") == dim)
+        place = F.pmod(F.xxhash64("unit_id"), F.lit(1 << 30))
+        wanted = min(FIT_MOST, max(FIT_LEAST, FIT_A_LEAF * n // LEAF_SIZE))
+        chosen = int(min(FIT_SHARE, wanted / n) * (1 << 30))
+        asked = 2 * (CALIBRATION if floor is not None else CALIBRATION // 6)
+        held_from = (1 << 30) - int(min(1 - FIT_SHARE, asked / n) * (1 << 30))
+        # both are chosen by hash, so their sizes are as expected but for chance
+        rows = of_dim.where((place < chosen) | (place >= held_from)).select("q", (place >= held_from).alias("held")).toArrow()
+        held = rows.column("held").to_numpy(zero_copy_only=False)
+        every = _matrix(rows.column("q"), dim)
+        sample, held_out = every[~held], every[held][:asked]
+        tree = fit_tree(_unit(sample), max(LEAST_POINTS, round(LEAF_SIZE * len(sample) / n)))
+        with swept(packed.sparkSession):
+            visits, got = calibrate(of_dim, tree, held_out, dim, k, floor, recall)
+        trees[dim] = (tree, visits)
+        report[dim] = {"vectors": n, "leaves": tree.leaves, "visits": visits, "recall": got}
+    return trees, report
+
+
 def similar_vectors(
     df: DataFrame,
     k: int = 10,
@@ -418,64 +464,40 @@ def similar_vectors(
     """
     spark = df.sparkSession
     packed = materialize(packed_vectors(df, id_col, vec_col), "p1-packed")
+    trees, similar_vectors.report = fitted(packed, k, floor, recall)
     asks = F.lit(True) if asks is None else asks
     keyed = packed.withColumn("vkey", F.xxhash64("dim", "scale", "q")).withColumn("asks", asks)
     classes = keyed.groupBy("vkey").agg(
         F.first("dim").alias("dim"), F.first("q").alias("q"), F.max("asks").alias("asks")
-    ).withColumn("salt", F.pmod(F.hash("vkey"), F.lit(1 << 20)))
-    sizes = {r["dim"]: r["n"] for r in packed.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL).collect()}
-    trees, report = {}, {}
-    for dim, n in sizes.items():
-        of_dim = packed.where(F.col("dim") == dim)
-        place = F.pmod(F.xxhash64("unit_id"), F.lit(1 << 30))
-        wanted = min(FIT_MOST, max(FIT_LEAST, FIT_A_LEAF * n // LEAF_SIZE))
-        fitted = int(min(FIT_SHARE, wanted / n) * (1 << 30))
-        asked = 2 * (CALIBRATION if floor is not None else CALIBRATION // 6)
-        held_from = (1 << 30) - int(min(1 - FIT_SHARE, asked / n) * (1 << 30))
-        # both are chosen by hash, so their sizes are as expected but for chance
-        rows = of_dim.where((place < fitted) | (place >= held_from)).select("q", (place >= held_from).alias("held")).toArrow()
-        held = rows.column("held").to_numpy(zero_copy_only=False)
-        every = _matrix(rows.column("q"), dim)
-        sample, held_out = every[~held], every[held][:asked]
-        tree = fit_tree(_unit(sample), max(LEAST_POINTS, round(LEAF_SIZE * len(sample) / n)))
-        visits, got = calibrate(of_dim, tree, held_out, dim, k, floor, recall)
-        trees[dim] = (tree, visits)
-        report[dim] = {"vectors": n, "leaves": tree.leaves, "visits": visits, "recall": got}
-    similar_vectors.report = report
+    ).withColumn("salt", F.pmod(F.hash("vkey"), F.lit(1 << SALT)))
     held = spark.sparkContext.broadcast(trees)
-
-    def home(batches):
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                tree, _ = held.value.get(int(dim), (None, 1))
-                part = batch.filter(pa.array(dims == dim))
-                at = tree.walk(_unit(_matrix(part.column("q"), int(dim))), 1)[:, 0] if tree else np.zeros(part.num_rows, "i4")
-                leaf, n = np.unique(at, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(leaf), dim, "i4")), pa.array(leaf.astype("i4")), pa.array(n.astype("i8"))], names=["dim", "leaf", "n"]
-                )
-
-    # classes are at most as many as rows: the count of rows bounds a leaf's blocks from above
-    heavy = (
-        packed.select("dim", "q")
-        .mapInArrow(home, "dim int, leaf int, n long")
-        .groupBy("dim", "leaf")
-        .agg(F.sum("n").alias("n"))
-        .where((F.col("n") > BLOCK) | (F.col("n") * max([1, *(v for _, v in trees.values())]) > CHUNK))
-        .collect()
-    )
+    classes = materialize(classes.mapInArrow(_home(held), "vkey long, dim int, q binary, asks boolean, salt int, home int"), "p1-classes")
+    most = max([1, *(v for _, v in trees.values())])
+    with swept(spark):
+        n, asked = classes.agg(F.count("*"), F.count_if("asks")).first()
+        rounds = max(1, -(-most * asked // (ROUND * max(1, n))))
+        heavy = (
+            classes.groupBy("dim", "home")
+            .agg(F.count("*").alias("n"))
+            .where((F.col("n") > BLOCK) | (F.col("n") * most > CHUNK * rounds))
+            .collect()
+        )
     # at most a row for each leaf of the trees
-    blocks = {(r["dim"], r["leaf"]): -(-r["n"] // BLOCK) for r in heavy}
+    blocks = {(r["dim"], r["home"]): -(-r["n"] // BLOCK) for r in heavy}
     # as many queries visit a leaf as it has rows, times the visits of each, more or less
-    chunks = {(r["dim"], r["leaf"]): -(-r["n"] * trees.get(r["dim"], (None, 1))[1] // CHUNK) for r in heavy}
-    hits = (
-        classes.mapInArrow(lambda it: _route(held.value, blocks, chunks)(it), "vkey long, dim int, q binary, leaf int, block int, chunk int, role byte")
-        .groupBy("dim", "leaf", "block", "chunk")
-        .applyInArrow(_compare(k, floor), "a long, b long, cosine double")
-    )
+    chunks = {(r["dim"], r["home"]): -(-r["n"] * trees.get(r["dim"], (None, 1))[1] // (CHUNK * rounds)) for r in heavy}
     top = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    hits = hits.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
+
+    def found(turn: int) -> DataFrame:
+        hits = (
+            classes.mapInArrow(lambda it: _route(held.value, blocks, chunks, turn, rounds)(it), "vkey long, dim int, q binary, leaf int, block int, chunk int, role byte")
+            .groupBy("dim", "leaf", "block", "chunk")
+            .applyInArrow(_compare(k, floor), "a long, b long, cosine double")
+        )
+        return hits.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
+
+    # a query is in one round only, so its list is whole there
+    hits = found(0) if rounds == 1 else functools.reduce(DataFrame.unionByName, [materialize(found(turn), "p1-hits") for turn in range(rounds)])
     # from classes back to units; a class lends at most k + 1 of its members as neighbours
     members = keyed.select("vkey", "unit_id", "asks").distinct()
     lent = (
@@ -515,8 +537,9 @@ def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each length of vector with a tree: vectors, leaves, visits, and the recall on held-out queries against brute force."""
-    similar_vectors(load(spark, sf_dir, "trace_units"), k=10, recall=0.95)
-    rows = [(d, r["vectors"], r["leaves"], r["visits"], r["recall"]) for d, r in similar_vectors.report.items()]
+    packed = materialize(packed_vectors(load(spark, sf_dir, "trace_units")), "p1-packed")
+    _, report = fitted(packed, 10, None, 0.95)
+    rows = [(d, r["vectors"], r["leaves"], r["visits"], r["recall"]) for d, r in report.items()]
     return spark.createDataFrame(rows, "dim int, vectors long, leaves int, visits int, recall double")
 
 

@@ -1,5 +1,6 @@
 """Problems 1, 2, 3 and 7 against brute force, with the defined edge cases."""
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -197,3 +198,29 @@ def test_queries_of_a_leaf_are_split(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 60)
     monkeypatch.setattr(vectors, "CHUNK", 70)
     assert _rows(vectors.similar_vectors(df, k=4), "unit_id", "rank", "neighbour_id") == want and len(want) == 2000
+
+
+def test_vectors_are_compared_in_rounds_that_leave_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SMALL", 64)
+    monkeypatch.setattr(vectors, "LEAF_SIZE", 40)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 8)), 3)
+    df = spark.createDataFrame([(f"u{i}", v.tolist()) for i, v in enumerate(x)], "unit_id string, embedding array<double>")
+    want = _rows(vectors.similar_vectors(df, k=4), "unit_id", "rank", "neighbour_id")
+    monkeypatch.setattr(vectors, "ROUND", 1)
+    files = lambda: int(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size())
+    written, kept = [], vectors.materialize
+
+    def write(d, name):
+        written.append(name)
+        return kept(d, name)
+
+    monkeypatch.setattr(vectors, "materialize", write)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    before = files()
+    found = vectors.similar_vectors(df, k=4)
+    time.sleep(1)
+    assert files() <= before
+    visits = vectors.similar_vectors.report[8]["visits"]
+    assert written.count("p1-hits") == visits > 1 and _rows(found, "unit_id", "rank", "neighbour_id") == want and len(want) == 1600
