@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoor.functions.text import entities, fingerprint
-from spoor.operators import evaluation, graph, identity, ranking
+from spoor.operators import evaluation, graph, identity, lexical, ranking
 from spoor.operators.answers import calibrate, evidence_block
+from spoor.operators.ranking import top_k
 from spoor.operators.retrieval import Options, retrieve
 from spoor.operators.vector import CellIndex, exact_topk
 from spoor.plans import catalog
@@ -221,3 +222,17 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == columns
     order = lambda d: d[columns].astype(str).sort_values(columns).reset_index(drop=True)
     assert order(want).equals(order(got))
+
+
+def test_best_units_are_found_without_pairs_of_query_and_unit(spark):
+    """As the scores of all pairs, ties by id, however the units lie; units without a word of a query are none."""
+    rows = [(f"u{i:03d}", " ".join(f"word{j}" for j in range(12) if (i * (j + 3)) % 7 < 2) + (" other" if i % 2 else "")) for i in range(300)] + [("v", None)]
+    units = spark.createDataFrame(rows, "unit_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"word{i} word{(5 * i) % 12} word{i} absent") for i in range(12)] + [("none", "absent"), ("blank", "")], "query_id string, text string")
+    terms = lexical.query_terms(asked)
+    all_pairs = lexical.bm25(terms, lexical.bm25_index(units, terms)).withColumn("bm", F.round("bm", 6))
+    want = {tuple(r) for r in top_k(all_pairs, 4, F.desc("bm"), "unit_id").select("query_id", "unit_id", "rank", "bm").collect()}
+    for parts in (1, 5):
+        found = lexical.bm25_topk(terms, units.repartition(parts), 4)
+        assert {tuple(r) for r in found.select("query_id", "unit_id", "rank", "bm").collect()} == want and len(want) == 48
+    assert lexical.bm25_topk(terms.limit(0), units, 4).count() == lexical.bm25_topk(terms, units.limit(0), 4).count() == 0
