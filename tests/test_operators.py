@@ -236,3 +236,19 @@ def test_best_units_are_found_without_pairs_of_query_and_unit(spark):
         found = lexical.bm25_topk(terms, units.repartition(parts), 4)
         assert {tuple(r) for r in found.select("query_id", "unit_id", "rank", "bm").collect()} == want and len(want) == 48
     assert lexical.bm25_topk(terms.limit(0), units, 4).count() == lexical.bm25_topk(terms, units.limit(0), 4).count() == 0
+
+
+def test_evidence_block_makes_no_pair_of_query_and_unit(spark, tmp_path, monkeypatch):
+    from spoor.plans import queries_text
+
+    rows = [(f"u{i:02d}", "s", f"name{i}", "p", "user", f"alpha beta{i % 7}", 1_700_000_000_000, None, i) for i in range(60)]
+    spark.createDataFrame(rows, "unit_id string, session_id string, session_name string, cwd string, role string, text string, ts_ms long, entities array<string>, seq long").write.parquet(f"{tmp_path}/trace_units.parquet")
+    spark.createDataFrame([("f1", "x", ["alpha beta3"]), ("f2", "x", ["gamma"])], "id string, text string, queries array<string>").write.parquet(f"{tmp_path}/eval_facts.parquet")
+
+    def pairs(*_):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(queries_text, "bm25", pairs)
+    (found,) = queries_text.evidence_blocks(spark, str(tmp_path)).collect()
+    lines = found["block"].split("\n")[1:]
+    assert found["query_id"] == "f1:1" and [x.split('"')[1] for x in lines] == ["name3", "name10", "name17"]
