@@ -252,3 +252,21 @@ def test_evidence_block_makes_no_pair_of_query_and_unit(spark, tmp_path, monkeyp
     (found,) = queries_text.evidence_blocks(spark, str(tmp_path)).collect()
     lines = found["block"].split("\n")[1:]
     assert found["query_id"] == "f1:1" and [x.split('"')[1] for x in lines] == ["name3", "name10", "name17"]
+
+
+def test_ppr_pushed_in_memory_equals_the_joined_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"u{i:02d}", f"e{e}") for i in range(60) for e in {int(x) for x in rng.integers(0, 25, 3)}] + [("alone", "only")]
+    postings = spark.createDataFrame(rows, "unit_id string, entity string")
+    weights = graph.entity_weights(postings, spark.createDataFrame([(61,)], "n_units long"))
+    # two queries with the same seeds, one whose seed has no edges, one of a seed that is in no posting
+    seeds = [("a", "u01", 2.0), ("a", "u05", 1.0), ("b", "u05", 1.0), ("b", "u01", 2.0), ("c", "u07", 1.0), ("c", "alone", 3.0), ("d", "gone", 1.0)]
+    seeds = spark.createDataFrame(seeds, "query_id string, unit_id string, seed double")
+    kept, names = graph.materialize, []
+    monkeypatch.setattr(graph, "materialize", lambda d, name: (names.append(name), kept(d, name))[1])
+    got = {(r["query_id"], r["unit_id"]): r["mass"] for r in graph.ppr(seeds, postings, weights, least=0.004).collect()}
+    assert "ppr-moving" not in names
+    monkeypatch.setattr(graph, "WHOLE", 0)
+    want = {(r["query_id"], r["unit_id"]): r["mass"] for r in graph.ppr(seeds, postings, weights, least=0.004).collect()}
+    assert "ppr-moving" in names and set(got) == set(want) and len(want) > 60
+    assert all(abs(want[k] - got[k]) < 1e-12 for k in want) and got["d", "gone"] == 1.0
