@@ -270,3 +270,25 @@ def test_ppr_pushed_in_memory_equals_the_joined_steps(spark, monkeypatch):
     want = {(r["query_id"], r["unit_id"]): r["mass"] for r in graph.ppr(seeds, postings, weights, least=0.004).collect()}
     assert "ppr-moving" in names and set(got) == set(want) and len(want) > 60
     assert all(abs(want[k] - got[k]) < 1e-12 for k in want) and got["d", "gone"] == 1.0
+
+
+def test_pairs_of_units_are_made_once(spark, monkeypatch):
+    """As by brute force, with a hub in several parts; no pair goes through an exchange."""
+    monkeypatch.setattr(graph, "SPLIT", 7)
+    rng = np.random.default_rng(9)
+    sets = {f"u{i:02d}": {"hub"} | {f"e{x}" for x in rng.integers(0, 9, 3)} for i in range(40)} | {"v": {"own"}, "w": {"e1"}}
+    postings = spark.createDataFrame([(u, e) for u, es in sets.items() for e in es], "unit_id string, entity string")
+    seeds = spark.createDataFrame([("u03",), ("w",), ("v",), ("w",)], "unit_id string")
+    found = graph.neighbours(seeds, postings)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted((s, u) for s in ("u03", "w", "v") for u in sets if u != s and sets[s] & sets[u])
+    weight = {e: 1.0 + k / 7 for k, e in enumerate(sorted(set().union(*sets.values()) - {"e4"}))}
+    n = {e: sum(e in es for es in sets.values()) for e in weight}
+    weights = spark.createDataFrame([(e, n[e], w) for e, w in weight.items()], "entity string, n long, w double")
+    linked = graph.edges(postings, weights)
+    got = {(r["src"], r["dst"]): r["w"] for r in linked.collect()}
+    want = {(a, b): sum(weight[e] for e in sets[a] & sets[b] & set(weight)) for a in sets for b in sets if a != b and sets[a] & sets[b] & set(weight)}
+    assert set(got) == set(want) and linked.count() == len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for df in (found,):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan.split("Join")[0]
