@@ -289,6 +289,6 @@ def test_pairs_of_units_are_made_once(spark, monkeypatch):
     got = {(r["src"], r["dst"]): r["w"] for r in linked.collect()}
     want = {(a, b): sum(weight[e] for e in sets[a] & sets[b] & set(weight)) for a in sets for b in sets if a != b and sets[a] & sets[b] & set(weight)}
     assert set(got) == set(want) and linked.count() == len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    for df in (found,):
+    for df in (found, linked):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan.split("Join")[0]
