@@ -473,8 +473,8 @@ def near_copies(texts: DataFrame) -> DataFrame:
 
     first = met.select("th", F.explode(F.array(*(f"p{k}" for k in range(NEXT + 1)))).alias("other")).where("other IS NOT NULL").distinct()
     found = materialize(aligned(first), "p5-first")
-    # whoever is no near-copy of these meets all longer texts of its buckets
-    rest = met.where(F.col("place") > NEXT + 2).join(found.select("th").distinct(), "th", "left_anti")
+    # one cut by a copy is settled; whoever is not meets all longer texts of its buckets
+    rest = met.where(F.col("place") > NEXT + 2).join(found.where("copy = 'cut'").select("th").distinct(), "th", "left_anti")
     longer = met.select("key", F.col("th").alias("other"), F.col("place").alias("at"))
     others = rest.select("th", "key", "place").join(longer, "key").where("at < place").select("th", "other").distinct().join(first, ["th", "other"], "left_anti")
     every = found.unionByName(aligned(others)).where("copy <> 'near'")

@@ -78,3 +78,17 @@ def test_every_near_copy_of_a_bucket_is_compared(spark):
     df = spark.createDataFrame([(u, t, "user") for u, t in rows], "unit_id string, text string, role string")
     got = {r["unit_id"] for r in truncation.truncation(df).collect() if r["verdict"] == "cut by its copy"}
     assert got == want | {"short"}
+
+
+def test_a_copy_that_does_not_go_on_hides_no_other(spark):
+    """A text whose first partners end as it does, or go on after a full stop, still meets the one that goes on in mid-sentence."""
+    rng = np.random.default_rng(5)
+    words = lambda k: ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(k)]
+    base = words(60)
+    short = " ".join(base)
+    rows = [(1, short), (2, short + " " + " ".join(words(9)) + " and")]
+    # as near as that, but of other ends, in length before and behind the one that goes on
+    rows += [(10 + i, " ".join([*base[:-2], *words(2 + i)])) for i in range(5)]
+    rows += [(30 + i, " ".join([*base[:-2], *words(14 + i)])) for i in range(5)]
+    got = {r["th"]: r["whole"] for r in truncation.near_copies(spark.createDataFrame(rows, "th long, text string")).collect()}
+    assert got.get(1) == 0
