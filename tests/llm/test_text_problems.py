@@ -321,3 +321,12 @@ def test_isotonic():
     x, y = reading.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([1.0, 3, 2, 2, 5]))
     fitted = reading.predict((x, y), np.array([1.0, 2, 3, 4, 5]))
     assert list(np.diff(fitted) >= 0) == [True] * 4 and fitted[0] == 1 and fitted[4] == 5 and fitted[2] == pytest.approx(7 / 3)
+
+
+def test_reading_levels_are_fitted_on_all_labels(spark):
+    """Words of every labelled document are counted, however many documents there are."""
+    word = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = [(i, f"{word(i)} and {word(i)} are " + " ".join(["words that stand in a plain line of text"] * 2) + ".") for i in range(8_100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    grader = reading.fit(df, spark.createDataFrame([(i, 1 + i % 4) for i in range(8_100)], "doc_id long, reading_level int"))
+    assert all(word(i) in grader.vocabulary for i in range(8_100))
