@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions.text import entities
 from spoor.llm import truncation
-from spoor.operators import graph, vector
+from spoor.operators import graph, retrieval, vector
 from spoor.operators.retrieval import Options, retrieve
 from spoor.plans import queries_search
 
@@ -92,3 +92,34 @@ def test_a_copy_that_does_not_go_on_hides_no_other(spark):
     rows += [(30 + i, " ".join([*base[:-2], *words(14 + i)])) for i in range(5)]
     got = {r["th"]: r["whole"] for r in truncation.near_copies(spark.createDataFrame(rows, "th long, text string")).collect()}
     assert got.get(1) == 0
+
+
+def _asked_and_units(spark, n_units: int, n_asked: int):
+    rng = np.random.default_rng(8)
+    units = spark.createDataFrame(
+        [(f"u{i}", f"s{i % 9}", None, "p" if i % 3 else "o", "user", "common words and " + " ".join(f"w{x}" for x in rng.integers(0, 60, 6)) + f" `thing_{i % 40}`", i, i, [float(x) for x in rng.normal(size=4)]) for i in range(n_units)],
+        "unit_id string, session_id string, session_name string, cwd string, role string, text string, ts long, seq long, embedding array<double>",
+    ).withColumn("ents", entities(F.col("text")))
+    asked = spark.createDataFrame([(f"q{i}", f"common words of w{i} with w{i + 20}", "p", None, n_units) for i in range(n_asked)], "query_id string, text string, cwd string, session_id string, now long")
+    return asked, units
+
+
+def _written(monkeypatch, frames):
+    held, real = {}, retrieval.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        held[name] = max(held.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "materialize", counted)
+    rows = frames()
+    return held, rows
+
+
+def test_no_pair_of_query_and_unit_is_written(spark, monkeypatch):
+    asked, units = _asked_and_units(spark, 400, 20)
+    held, rows = _written(monkeypatch, lambda: retrieve(asked, units, Options(use_mmr=False, use_bridges=False)).collect())
+    # each query meets each unit by its first words
+    assert len(rows) == 20 * 5 and max(held.values()) < 20 * 400 / 4, held
+
