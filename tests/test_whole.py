@@ -123,3 +123,13 @@ def test_no_pair_of_query_and_unit_is_written(spark, monkeypatch):
     # each query meets each unit by its first words
     assert len(rows) == 20 * 5 and max(held.values()) < 20 * 400 / 4, held
 
+
+def test_vectors_compared_in_the_tasks_give_what_all_similarities_give(spark, monkeypatch):
+    asked, units = _asked_and_units(spark, 300, 20)
+    rng = np.random.default_rng(9)
+    qvec = spark.createDataFrame([(f"q{i}", [float(x) for x in rng.normal(size=4)]) for i in range(20)], "query_id string, qvec array<double>")
+    dense = vector.similarities(qvec, units).select("query_id", "unit_id", ((F.col("cosine") + 1) / 2).alias("sem"))
+    rows = lambda **found: sorted((r["query_id"], r["rank"], r["unit_id"], round(r["score"], 6), r["reason"]) for r in retrieve(asked, units, Options(), **found).collect())
+    held, got = _written(monkeypatch, lambda: rows(asked_vectors=qvec))
+    assert got == rows(dense=dense) and len(got) == 20 * 5 and max(held.values()) < 20 * 300 / 2, held
+
