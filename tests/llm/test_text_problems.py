@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spoor.llm import conversations, mixing, packing, pii, reading, tokens, truncation
 
@@ -330,3 +331,21 @@ def test_reading_levels_are_fitted_on_all_labels(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     grader = reading.fit(df, spark.createDataFrame([(i, 1 + i % 4) for i in range(8_100)], "doc_id long, reading_level int"))
     assert all(word(i) in grader.vocabulary for i in range(8_100))
+
+
+def test_fitting_reading_levels_brings_no_document_to_the_driver(spark, monkeypatch):
+    """What the driver gets follows the different words and trigrams, not the labelled documents; all of these are counted."""
+    rng = np.random.default_rng(7)
+    texts = [_document(rng, 1 + i % 4) for i in range(60)]
+    frame, got = type(spark.range(1)), []
+    for name in ("toArrow", "collect"):
+        monkeypatch.setattr(frame, name, lambda df, f=getattr(frame, name): (got.append(f(df)), got[-1])[1])
+    fetched = []
+    for copies in (2, 20):
+        got.clear()
+        df = spark.createDataFrame([(60 * k + i, t) for k in range(copies) for i, t in enumerate(texts)], "doc_id long, text string")
+        grader = reading.fit(df, df.select("doc_id", (1 + F.col("doc_id") % 4).cast("int").alias("reading_level")))
+        fetched.append(sum(t.nbytes if isinstance(t, pa.Table) else len(str(t)) for t in got))
+        assert grader.easy.total == copies * sum(len(reading.prose(t)) for t in texts[::4])
+        assert grader.hard.total == copies * sum(len(reading.prose(t)) for t in texts[3::4])
+    assert fetched[1] < 1.5 * fetched[0]
