@@ -292,3 +292,22 @@ def test_pairs_of_units_are_made_once(spark, monkeypatch):
     for df in (found, linked):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan.split("Join")[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_listed_without_a_join(spark, monkeypatch):
+    """Neither units of an entity nor pairs are copied into shuffle files; the joined form gives the same rows."""
+    rng = np.random.default_rng(3)
+    postings = spark.createDataFrame(sorted({(f"u{rng.integers(60)}", f"e{rng.integers(12)}") for _ in range(150)}), "unit_id string, entity string").cache()
+    seeds = spark.createDataFrame([("u1",), ("u2",), ("u2",), ("nowhere",)], "unit_id string")
+    for few in (seeds, postings.select("unit_id")):
+        found = graph.neighbours(few, postings)
+        assert "Join" not in _plan(found)
+        rows = found.collect()
+        with monkeypatch.context() as m:
+            m.setattr(graph, "WHOLE", 0)
+            assert sorted(rows) == sorted(graph.neighbours(few, postings).collect()) and rows
+    assert graph.neighbours(seeds, postings.limit(0)).count() == 0
