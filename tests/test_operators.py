@@ -311,3 +311,21 @@ def test_neighbours_are_listed_without_a_join(spark, monkeypatch):
             m.setattr(graph, "WHOLE", 0)
             assert sorted(rows) == sorted(graph.neighbours(few, postings).collect()) and rows
     assert graph.neighbours(seeds, postings.limit(0)).count() == 0
+
+
+def test_ppr_of_entities_writes_no_seed(spark, monkeypatch):
+    """Seeds made in the tasks, of hubs and of units without edges too, give what seeds of ``entity_hits`` give."""
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i:02d}", f"e{e}") for i in range(60) for e in {int(x) for x in rng.integers(0, 25, 3)}] + [(f"u{i:02d}", "hub") for i in range(30)] + [("alone", "only"), ("other", "hub")]
+    postings = spark.createDataFrame(rows, "unit_id string, entity string").cache()
+    weights = graph.entity_weights(postings, spark.createDataFrame([(62,)], "n_units long"))
+    asked = [("a", "e1"), ("a", "hub"), ("b", "hub"), ("b", "e1"), ("c", "only"), ("c", "e7"), ("d", "nowhere"), ("e", "hub")]
+    asked = spark.createDataFrame(asked, "query_id string, entity string")
+    kept, names = graph.materialize, []
+    monkeypatch.setattr(graph, "materialize", lambda d, name: (names.append(name), kept(d, name))[1])
+    got = {(r["query_id"], r["unit_id"]): r["mass"] for r in graph.ppr_of_entities(asked, postings, weights, least=0.004).collect()}
+    assert "ppr-seeds" not in names
+    want = {(r["query_id"], r["unit_id"]): r["mass"] for r in graph.ppr(graph.entity_hits(asked, postings).withColumn("seed", F.col("hits").cast("double")), postings, weights, least=0.004).collect()}
+    assert "ppr-seeds" in names and set(got) == set(want) and {q for q, _ in got} == set("abce")
+    assert all(abs(want[k] - got[k]) < 1e-12 for k in want) and got["c", "alone"] > 0
+    assert graph.ppr_of_entities(asked, postings.limit(0), weights).count() == 0
