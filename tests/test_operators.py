@@ -329,3 +329,14 @@ def test_ppr_of_entities_writes_no_seed(spark, monkeypatch):
     assert "ppr-seeds" in names and set(got) == set(want) and {q for q, _ in got} == set("abce")
     assert all(abs(want[k] - got[k]) < 1e-12 for k in want) and got["c", "alone"] > 0
     assert graph.ppr_of_entities(asked, postings.limit(0), weights).count() == 0
+
+
+def test_edges_are_made_without_a_join(spark):
+    """Weights of shared entities are added in the tasks, rounded once; pairs neither meet nor add up in the plan."""
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "z"), ("d", "left out"), ("a", "left out")]
+    postings = spark.createDataFrame(rows, "unit_id string, entity string")
+    weights = spark.createDataFrame([("x", 2, 0.1234567), ("y", 3, 1.0), ("z", 1, 2.0)], "entity string, n long, w double")
+    linked = graph.edges(postings, weights, 6)
+    assert "Join" not in _plan(linked)
+    want = {("a", "b"): 1.123457, ("a", "c"): 1.0, ("b", "c"): 1.0}
+    assert {tuple(r) for r in linked.collect()} == {(s, d, w) for (a, b), w in want.items() for s, d in ((a, b), (b, a))}
